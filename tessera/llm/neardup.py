@@ -5,12 +5,13 @@
    similarity 0.75 share no band with probability 5e-6.
 2. Documents of equal fingerprint are a class; only its smallest id goes on. Groups of exact copies end here, in a
    grouped minimum that is combined before the shuffle.
-3. Candidates: within each band bucket, every member against the bucket's smallest id (a star, not all pairs). The
-   packed bits give a collision-corrected estimate by XOR and bit counts; pairs more than five standard deviations
-   below the threshold are dropped, the others confirmed on their full shingle sets.
-4. Components of the confirmed links. In a bucket whose members are still in different components, the members are
-   compared with each other by the estimate, in blocks of bounded size, and what passes is confirmed. So every pair that
-   shares a bucket is confirmed, ruled out by its estimate, or already connected: no cap, no lost link.
+3. Candidates: within a band bucket, every member against one (a star, not all pairs). The packed bits give a
+   collision-corrected estimate by XOR and bit counts; pairs more than five standard deviations below the threshold are
+   dropped, the others confirmed on their full shingle sets. A few bands come first; their links connect most copies.
+4. Then, over all bands, only buckets whose members are still in different components: first the members outside a
+   bucket's largest component against that component's smallest id, then all pairs across components by the estimate, in
+   blocks of bounded size. So every pair that shares a bucket is confirmed, ruled out by its estimate, or already
+   connected: no cap, no lost link.
 
 Defined results: a document without words has no shingles and no links; one of fewer words than a shingle has one
 shingle, its whole sequence. Rows of equal id are one document that holds all their texts. A null id is linked with
@@ -19,7 +20,7 @@ nothing, has a null component and is kept. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ _rng = np.random.Generator(np.random.PCG64(20240117))
 _MUL = _rng.integers(0, 2**32, _N, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, _N, dtype=np.uint32)
 _LANES = 0x5555555555555555
-BLOCK = 512
+BLOCK, FIRST_BANDS = 512, 4
+#: Ids that a broadcast may hold; beyond that many, the join shuffles.
+BROADCAST_IDS = 4_000_000
 
 
 def minima(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -126,7 +129,9 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold. docs: (id, text)."""
-    need = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-needed")
+    if need.count() <= BROADCAST_IDS:
+        need = F.broadcast(need)
     sets = full_sets(docs.join(need, "id", "left_semi").select("id", "text"), shingle)
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -134,41 +139,65 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (smallest id reachable), kept. See the module."""
-    least = least_matches(percent)
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    sig = materialize(signatures(rows, "id", "text", shingle), "neardup-signatures")
-    linkable = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = materialize(linkable.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig", "bands")).alias("m")).select("fa", "fb", "m.*"), "neardup-classes")
+def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK, first_bands: int = FIRST_BANDS) -> DataFrame:
+    """(node, component) over classes (id, bands, sig) that share a band and are close.
+
+    ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to.
+    Three rounds, each over buckets that the rounds before left in several components: stars around the smallest id in
+    the first bands; in all bands, stars around the bucket's largest component; all pairs across components, compared
+    in blocks of about ``block`` by ``block``.
+    """
     sigs = classes.select("id", "sig")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "id")
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").select("bucket", "a")
-    members = materialize(buckets.join(pivots, "bucket").where("id > a").select("bucket", "a", F.col("id").alias("b")), "neardup-members")
 
-    def estimated(pairs: DataFrame) -> DataFrame:
-        p = pairs.join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
-        return p.where(matches("ga", "gb") >= least).select("a", "b").distinct()
+    def linked_by(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        p = pairs.distinct().join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
+        return settled(p.where(close("ga", "gb")).select("a", "b"), before)
 
-    star = materialize(estimated(members.select("a", "b").distinct()), "neardup-star")
-    links = materialize(confirm(star, rows, shingle, percent), "neardup-links")
-    linked = components(links, "a", "b")
+    def settled(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
+        pairs = materialize(pairs.distinct(), "link-pairs")
+        pairs = confirm(pairs) if confirm else pairs
+        if before is not None:
+            if pairs.isEmpty():
+                return before
+            pairs = pairs.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
+        return components(pairs, "a", "b")
 
-    # What the stars leave open: buckets whose members, the smallest aside, are in several components.
-    labelled = members.join(linked.withColumnRenamed("node", "b"), "b", "left").select("bucket", F.col("b").alias("id"), F.coalesce("component", "b").alias("label"))
-    labelled = materialize(labelled, "neardup-labelled")
-    open_ = labelled.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).where("l0 < l1").select("bucket", F.ceil(F.col("m") / block).cast("int").alias("nb"))
-    rest = labelled.join(open_, "bucket").join(sigs, "id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    buckets = classes.select(F.explode(F.slice("bands", 1, first_bands)).alias("bucket"), "id")
+    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").select("bucket", "a")
+    linked = linked_by(buckets.join(pivots, "bucket").where("id > a").select("a", F.col("id").alias("b")), None)
+
+    def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
+        """(bucket, id, label) of buckets in several components."""
+        named = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+        named = materialize(named, "link-labelled")
+        several = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+        return materialize(named.join(several, "bucket", "left_semi"), "link-open")
+
+    labels = classes.select("id", "bands").join(linked.withColumnRenamed("node", "id"), "id", "left").select(F.explode("bands").alias("bucket"), "id", F.coalesce("component", "id").alias("label"))
+    several = labels.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
+    members = materialize(labels.join(several, "bucket", "left_semi"), "link-open")
+    groups = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("id").alias("a"))
+    top = groups.groupBy("bucket").agg(F.max(F.struct("n", "a", "label")).alias("top")).select("bucket", "top.a", F.col("top.label").alias("most"))
+    linked = linked_by(members.join(top, "bucket").where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
+
+    members = still_open(members.select("bucket", "id"), linked)
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
+    rest = members.join(blocks, "bucket").join(sigs, "id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     left = rest.select("bucket", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("gx"))
     right = rest.select("bucket", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("gy"))
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("lx") != F.col("ly"))
-    on = on & ((F.col("l.i") < F.col("l.j")) | (F.col("x") < F.col("y"))) & (matches("gx", "gy") >= least)
-    more = left.alias("l").join(right.alias("r"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = materialize(more, "neardup-rest")
-    if not more.isEmpty():
-        found = confirm(more, rows, shingle, percent)
-        linked = components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found), "a", "b")
+    on = on & ((F.col("l.i") < F.col("l.j")) | (F.col("x") < F.col("y"))) & close("gx", "gy")
+    return settled(left.alias("l").join(right.alias("r"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), linked)
+
 
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id (smallest id reachable), kept. See the module."""
+    least = least_matches(percent)
+    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
+    sig = materialize(signatures(rows, "id", "text", shingle), "neardup-signatures")
+    linkable = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
+    classes = materialize(linkable.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig", "bands")).alias("m")).select("fa", "fb", "m.*"), "neardup-classes")
+    linked = link(classes, lambda x, y: matches(x, y) >= least, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), block)
     roots = classes.select("fa", "fb", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("root"))
     out = sig.select("id", "n", "fa", "fb").join(roots, ["fa", "fb"], "left")
     root = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
