@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, bpe_count, decontaminate, neardup, shard
+from . import bpe_codec, bpe_count, decontaminate, langid, media, neardup, passages, shard
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_shard_bytes": shard.query,
     "op3_bpe_codec": bpe_codec.query,
     "op6_near_duplicates": neardup.query,
+    "op4_language": langid.query,
+    "op7_passages": passages.query,
+    "op8_lossless_webp": media.query,
     "op5_token_counts": bpe_count.query,
 }
 
