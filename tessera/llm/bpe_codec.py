@@ -16,6 +16,7 @@ Defined results: null and empty texts have no ids and decode to the empty string
 from __future__ import annotations
 
 import os
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
@@ -67,7 +68,7 @@ def _whole(data: np.ndarray, at: int, hi: int) -> int:
 
 
 class Codec:
-    """Ids (little-endian unsigned 32-bit) and decoded bytes of pieces of text."""
+    """Ids (little-endian unsigned 32-bit) of pieces of text, and the text of ids."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,29 +80,34 @@ class Codec:
         ids = lambda s: self.tok.encode(s, add_special_tokens=False).ids
         if self.tok.decoder is not None or ids(" \n\t\r\x0b\x0c") or ids("a b\nc") != ids("a") + ids("b") + ids("c"):
             raise ValueError("chunks are joined at white space, so the vocabulary must drop it and decode by words")
-        self.names = {i: s.encode() for s, i in self.tok.get_vocab(with_added_tokens=True).items()}
+        names = self.tok.get_vocab(with_added_tokens=True)
+        self.names = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.names[i] = name.encode()
         self.ids: dict[bytes, bytes] = {}
-        self.texts: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def learn(self, pieces: list[bytes]) -> None:
-        """Makes the words of these pieces known."""
+        """Makes the words of these pieces known. Words not seen for a generation are forgotten."""
         if len(self.ids) > _MEMORY_WORDS:
-            self.ids.clear()
-            self.texts.clear()
+            self.ids, self.before = {}, self.ids
         new: set[bytes] = set()
         for p in pieces:
             new.update(p.split())
         new.difference_update(self.ids)
-        words, names = list(new), self.names
+        old = new.intersection(self.before)
+        for w in old:
+            self.ids[w] = self.before[w]
+        words = list(new - old)
         for w, e in zip(words, self.tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)):
-            ids = e.ids
-            self.ids[w] = np.array(ids, "<u4").tobytes()
-            self.texts[w] = b" ".join([names[i] for i in ids])
+            self.ids[w] = array("I", e.ids).tobytes()
 
-    def piece(self, p: bytes) -> tuple[bytes, bytes]:
-        """(ids, decoded) of a piece whose words are known."""
-        words = p.split()
-        return b"".join(map(self.ids.__getitem__, words)), b" ".join(filter(None, map(self.texts.__getitem__, words)))
+    def piece(self, p: bytes) -> bytes:
+        """The ids of a piece whose words are known."""
+        return b"".join(map(self.ids.__getitem__, p.split()))
+
+    def decode(self, ids: bytes) -> bytes:
+        return b" ".join(map(self.names.__getitem__, array("I", ids)))
 
 
 _CODECS: dict[str, Codec] = {}
@@ -175,8 +181,8 @@ def shared_chunks(rows: DataFrame, dictionary_bytes: int) -> dict[int, int]:
     return out
 
 
-def dictionary(rows: DataFrame, hashes: dict[int, int], vocabulary: str | None) -> dict[bytes, tuple[bytes, bytes, bytes, bytes]]:
-    """chunk -> (head, ids and decoded text of the middle, tail), each encoded once, on the executors."""
+def dictionary(rows: DataFrame, hashes: dict[int, int], vocabulary: str | None) -> dict[bytes, tuple[bytes, bytes, bytes]]:
+    """chunk -> (head, ids of the middle, tail), each encoded once, on the executors."""
     if not hashes:
         return {}
     known = rows.sparkSession.sparkContext.broadcast(set(hashes))
@@ -207,13 +213,13 @@ def dictionary(rows: DataFrame, hashes: dict[int, int], vocabulary: str | None)
             raw = data.tobytes()
             codec.learn([raw[a:z] for _, a, z, _ in spans])
             done = [codec.piece(raw[a:z]) for _, a, z, _ in spans]
-            cols = [chunks, [raw[s:a] for s, a, _, _ in spans], [x for x, _ in done], [x for _, x in done], [raw[z:e] for _, _, z, e in spans], [a < e for _, a, _, e in spans]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in cols[:5]), pa.array(cols[5], pa.bool_())], names=["chunk", "head", "ids", "decoded", "tail", "spaced"])
+            cols = [chunks, [raw[s:a] for s, a, _, _ in spans], done, [raw[z:e] for _, _, z, e in spans]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.binary()) for c in cols), pa.array([a < e for _, a, _, e in spans], pa.bool_())], names=["chunk", "head", "ids", "tail", "spaced"])
 
     chunks = rows.select("text").mapInArrow(texts, "h long, chunk binary").groupBy("h").agg(F.min("chunk").alias("chunk")).select("chunk")
-    made = chunks.mapInArrow(encode, "chunk binary, head binary, ids binary, decoded binary, tail binary, spaced boolean").collect()
+    made = chunks.mapInArrow(encode, "chunk binary, head binary, ids binary, tail binary, spaced boolean").collect()
     known.unpersist()
-    return {bytes(r.chunk): (bytes(r["head"]), bytes(r.ids), bytes(r.decoded), bytes(r.tail)) for r in made if r.spaced}
+    return {bytes(r.chunk): (bytes(r["head"]), bytes(r.ids), bytes(r.tail)) for r in made if r.spaced}
 
 
 def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
@@ -234,7 +240,7 @@ def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                             join = glue + hit[0]
                             parts += (join, hit)
                             learn.append(join)
-                            glue = hit[3]
+                            glue = hit[2]
                             reused += 1
                         elif a == e:
                             glue += raw[s:e]
@@ -249,9 +255,8 @@ def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 codec.learn(learn)
                 ids, texts = [], []
                 for parts, _ in docs:
-                    done = [(p[1], p[2]) if isinstance(p, tuple) else codec.piece(p) for p in parts]
-                    ids.append(b"".join([x for x, _ in done]))
-                    texts.append(b" ".join([x for _, x in done if x]))
+                    ids.append(b"".join([p[1] if isinstance(p, tuple) else codec.piece(p) for p in parts]))
+                    texts.append(codec.decode(ids[-1]))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array([len(x) >> 2 for x in ids], np.int64)), pa.array(ids, pa.binary()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([r for _, r in docs], pa.int32())], names=["id", "n_tokens", "ids", "decoded", "n_reused"])
 
     kind = rows.schema["id"].dataType.simpleString()
