@@ -18,7 +18,6 @@ a null id or no words are ignored; items that repeat an id count once; other col
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -185,8 +184,11 @@ def _block(state: DataFrame, keep: T.StructType, tables: dict, windows: dict, la
     return state.mapInArrow(run, out)
 
 
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The documents, all columns kept, in which no window of an item occurs. Each row is judged by itself."""
+    text = options.pop("text", "text")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    return decontaminate(rows, items, doc_id="_row", text="_text", **options).where("n_hit = 0").select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, bpe_count, decontaminate, langid, media, neardup, passages, shard
+from . import bpe_codec, bpe_count, decontaminate, langid, media, neardup, passages, quality, shard, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.query,
     "op2_shard_bytes": shard.query,
     "op3_bpe_codec": bpe_codec.query,
-    "op6_near_duplicates": neardup.query,
     "op4_language": langid.query,
+    "op5_token_counts": bpe_count.query,
+    "op6_near_duplicates": neardup.query,
     "op7_passages": passages.query,
     "op8_lossless_webp": media.query,
-    "op5_token_counts": bpe_count.query,
+    "op9_toxicity": toxicity.query,
+    "op10_quality": quality.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
