@@ -1,4 +1,668 @@
-"""Every query of the library with its DuckDB SQL."""
+"""Every query of the library over the driver's tables, with the same question in DuckDB SQL where SQL can ask it.
 
-QUERIES: dict = {}
+``documents`` stand for the corpus (``source`` as document name, ``lang`` as chunk type), ``benchmark`` for questions,
+``embeddings`` for the vector index, ``conversations`` for ordered chunks, ``events`` for the log, and
+customer, orders, lineitem for parents, children and leaves.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from .functions import clean, text as tx
+from .operators import access, chunk, context, enrich, evaluate, index as ix, retrieve, understand
+from .plans import pipelines, schema
+from .sources import readers
+from .sources.providers import HashedEmbedder, RuleChat
+from .streaming.ingest import event_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLE_SQL[name or f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sql_tokens(x: str) -> str:
+    t = f"lower(coalesce({x}, ''))"
+    han = rf"regexp_extract_all({t}, '[\x{{4e00}}-\x{{9fff}}]')"
+    return f"list_concat(list_concat(regexp_extract_all({t}, '[a-z0-9_]+'), {han}), list_transform(range(1, len({han})), lambda i: {han}[i] || {han}[i + 1]))"
+
+
+# ---------------------------------------------------------------- functions
+
+
+@query(f"SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
+def fn_tokenize(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.tokenize("text").alias("t")).select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", " ")).alias("digest"))
+
+
+@query(f"""WITH s AS (SELECT doc_id, list_distinct({sql_tokens('text')}) AS t FROM documents)
+SELECT a.doc_id, round(CASE WHEN len(a.t) = 0 OR len(b.t) = 0 THEN 0e0 ELSE len(list_intersect(a.t, b.t)) / CAST(len(list_distinct(list_concat(a.t, b.t))) AS DOUBLE) END, 6) AS similarity
+FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+def fn_jaccard(spark, d):
+    s = table(spark, d, "documents").select("doc_id", tx.token_set("text").alias("t"))
+    n = s.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
+    return s.join(n, "doc_id").select("doc_id", F.round(tx.jaccard("t", "u"), 6).alias("similarity"))
+
+
+@query("""SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def fn_cosine(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(n, "vec_id").select("vec_id", F.round(tx.cosine("embedding", "other"), 6).alias("cosine"))
+
+
+@query("""SELECT p_partkey, round(CASE WHEN p_size % 5 = 0 THEN 0e0 WHEN hi = lo THEN 1e0 ELSE (p_retailprice - lo) / (hi - lo) END, 6) AS score FROM
+(SELECT *, min(CASE WHEN p_size % 5 <> 0 THEN p_retailprice END) OVER (PARTITION BY p_brand) AS lo, max(CASE WHEN p_size % 5 <> 0 THEN p_retailprice END) OVER (PARTITION BY p_brand) AS hi FROM part)""")
+def fn_minmax(spark, d):
+    p = table(spark, d, "part").withColumn("x", F.when(F.col("p_size") % 5 != 0, F.col("p_retailprice")))
+    return p.select("p_partkey", F.round(tx.min_max("x", ["p_brand"]), 6).alias("score"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...[TRUNCATED ' || (length(text) - 120) || ' chars]' ELSE text END AS short FROM documents")
+def fn_truncate(spark, d):
+    return table(spark, d, "documents").select("doc_id", tx.truncate("text", 120).alias("short"))
+
+
+@query("SELECT item_id, item_id % 2 = 0 AS wants_table FROM benchmark")
+def fn_table_intent(spark, d):
+    q = F.concat("text", F.when(F.col("item_id") % 2 == 0, "的价格").otherwise("?"))
+    return table(spark, d, "benchmark").select("item_id", tx.table_intent(q).alias("wants_table"))
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([trim(c_mktsegment), trim(lower(c_mktsegment)), ' '], lambda x: trim(x) <> ''), '|') AS names FROM customer")
+def fn_unique_keep_order(spark, d):
+    v = F.array("c_mktsegment", F.lower("c_mktsegment"), F.lit(" "), F.concat(F.lit(" "), F.col("c_mktsegment")))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(tx.unique_keep_order(v), "|").alias("names"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.' || json_keys(props)[1]) AS VARCHAR) AS first_value FROM events")
+def fn_parse_json(spark, d):
+    e = table(spark, d, "events").withColumn("k", F.get(F.json_object_keys("props"), F.lit(0))).withColumn("m", tx.parse_json("props", "map<string,string>"))
+    return e.select("event_id", F.try_element_at("m", F.col("k")).alias("first_value"))
+
+
+@query("""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'document') AS name FROM pages""", "src_result_dir")
+def src_result_dir(spark, d):
+    return table(spark, d, "pages").select("page_id", tx.safe_name("url").alias("name"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(doc_id AS VARCHAR) || '::' || lang || '::' || 1 || '-' || n_chars || '::' || substr(sha256(text), 1, 16) AS index_id FROM documents")
+def fn_chroma_id(spark, d):
+    h = tx.content_hash("text")
+    return table(spark, d, "documents").select("doc_id", h.alias("content_hash"), tx.index_id(F.col("doc_id").cast("string"), F.col("lang"), F.lit(1), F.col("n_chars"), h).alias("index_id"))
+
+
+# ---------------------------------------------------------------- cleaning
+
+#: Documents with lines for every rule before their own.
+_NOISE = ["---", "Page 3", "第 4 页", "| | |", "#Head", "+ item", "1.x", "····", "a  b\t\tc", "|a|b|", "|:--|---:|", "* * *", "- 12 -"]
+_SQL_NOISY = "'" + "' || chr(10) || '".join(_NOISE) + "' || chr(13) || chr(10) || '<b>bold</b><!-- gone -->' || chr(10) || text"
+
+
+def noisy(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.concat(F.lit("\n".join(_NOISE) + "\r\n<b>bold</b><!-- gone -->\n"), "text").alias("text"))
+
+
+def _lines_sql(keep: str | None = None, each: str = "s") -> str:
+    x = "string_split(t, chr(10))"
+    if keep:
+        x = f"list_filter({x}, lambda s: {keep})"
+    return f"array_to_string(list_transform({x}, lambda s: {each}), chr(10))"
+
+
+_PY_STRIP = r"regexp_replace(s, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')"
+_CLEAN_SQL = {
+    "clean_newlines": r"regexp_replace(t, '\r\n?', chr(10), 'g')",
+    "clean_html_comment": r"regexp_replace(t, '(?s)<!--.*?-->', '', 'g')",
+    "clean_html_tags": r"regexp_replace(t, '(?i)</?(div|span|font|center|p|br|strong|em|b|i|u|section|article)[^>]*>', '', 'g')",
+    "clean_page_no": _lines_sql(rf"NOT (regexp_matches({_PY_STRIP}, '^[-–—]?\s*[0-9]{{1,4}}\s*[-–—]?$') OR regexp_matches({_PY_STRIP}, '(?i)^(第\s*)?[0-9]{{1,4}}\s*(页|/\s*[0-9]{{1,4}}|of\s+[0-9]{{1,4}})$') OR regexp_matches({_PY_STRIP}, '(?i)^Page\s+[0-9]{{1,4}}(\s*/\s*[0-9]{{1,4}})?$'))"),
+    "clean_empty_row": _lines_sql(r"NOT regexp_matches(s, '^\s*\|(\s*\|)+\s*$')"),
+    "clean_noise": _lines_sql(rf"NOT (regexp_full_match({_PY_STRIP}, '[·•\-\s]{{3,}}') OR regexp_full_match({_PY_STRIP}, '[.。·•]{{4,}}'))"),
+    "clean_heading": _lines_sql(None, r"regexp_replace(s, '^(#{1,6})([^\s#])', '\1 \2')"),
+    "clean_ul": _lines_sql(None, r"regexp_replace(s, '^\s*[*+]\s+', '- ')"),
+    "clean_ol": _lines_sql(None, r"regexp_replace(s, '^([0-9]+)\.([^\s])', '\1. \2')"),
+    "clean_squeeze": _lines_sql(None, r"CASE WHEN s LIKE '|%' OR s LIKE ' %' THEN s ELSE regexp_replace(s, '[ \t]{2,}', ' ', 'g') END"),
+}
+
+
+def _clean_query(rule):
+    return lambda spark, d: noisy(spark, d).select("doc_id", F.md5(rule("text")).alias("digest"))
+
+
+for _name, _rule in clean.RULES.items():
+    _sql = f"SELECT doc_id, md5({_CLEAN_SQL[_name]}) AS digest FROM (SELECT doc_id, {_SQL_NOISY} AS t FROM documents)" if _name in _CLEAN_SQL else None
+    query(_sql, _name)(_clean_query(_rule))
+
+
+@query(r"SELECT page_id, md5(regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>|<!--.*?-->', '', 'g'), '(?i)</?(div|span|font|center|p|br|strong|em|b|i|u|section|article)[^>]*>', '', 'g')) AS digest FROM pages")
+def html_tags_of_pages(spark, d):
+    return table(spark, d, "pages").select("page_id", F.md5(clean.html_tags(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", ""))).alias("digest"))
+
+
+# ---------------------------------------------------------------- chunks
+
+
+@query(r"""SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS pos, md5(unnest(p)) AS digest FROM
+(SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda s: trim(s)), lambda s: s <> '') AS p FROM documents)""")
+def chunk_text_units(spark, d):
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
+    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("pos", "p")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("p").alias("digest"))
+
+
+def page_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("document_id"), clean.markdown(readers.parsed_html("html")).alias("text"))
+
+
+def page_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.chunks(page_documents(spark, d))
+
+
+@query()
+def chunk_markdown(spark, d):
+    return page_chunks(spark, d).select("id", "type", "document_id", "order_index", "line_range", "parent_id", "child_ids", "title_path", "content_hash")
+
+
+@query()
+def enrich_build(spark, d):
+    e = schema.require(enrich.enrich(page_chunks(spark, d)), "hybrid_chunk")
+    return e.select("id", "document_id", "retrieval_role", "should_embed", "neighbor_chunk_ids", "related_ref_chunk_ids", "small_to_big_context_ids", F.md5("embedding_text").alias("digest"))
+
+
+@query()
+def chunk_type_counts(spark, d):
+    return chunk.type_counts(page_chunks(spark, d))
+
+
+@query()
+def con_validate(spark, d):
+    return schema.violations(enrich.enrich(page_chunks(spark, d)))
+
+
+@query("""SELECT 'nation' AS name, string_agg('Row ' || (n_nationkey + 1) || ': n_nationkey: ' || n_nationkey || '; n_name: ' || n_name || '; n_regionkey: ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS table_text FROM nation""")
+def chunk_md_table_text(spark, d):
+    cells = lambda *c: F.concat(F.lit("Row "), (F.col("n_nationkey") + 1).cast("string"), F.lit(": "), F.array_join(F.array(*[F.concat(F.lit(f"{x}: "), F.col(x).cast("string")) for x in c]), "; "))
+    rows = table(spark, d, "nation").select("n_nationkey", cells("n_nationkey", "n_name", "n_regionkey").alias("line"))
+    return rows.groupBy(F.lit("nation").alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "line"))), lambda s: s["line"]), "\n").alias("table_text"))
+
+
+@query("""SELECT part, CAST(count(*) AS BIGINT) AS data_rows, CAST(min(s_suppkey) AS BIGINT) AS first_key, CAST(max(s_suppkey) AS BIGINT) AS last_key,
+'Markdown table with ' || count(*) || ' data rows and 4 columns (part ' || part || ' of ' || max(parts) || '). Columns: s_suppkey, s_name, s_nationkey, s_acctbal.' AS description
+FROM (SELECT s_suppkey, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) // 30 + 1 AS BIGINT) AS part, CAST(ceil(count(*) OVER () / 30e0) AS BIGINT) AS parts FROM supplier) GROUP BY part""")
+def chunk_md_table_split(spark, d):
+    s = table(spark, d, "supplier").select("s_suppkey")
+    n = s.count()  # keys are dense from the first on, so a row's place follows from its key without a global sort
+    first = s.agg(F.min("s_suppkey")).first()[0] or 0
+    parts = max(1, -(-n // chunk.MAX_ROWS))
+    p = s.withColumn("part", (F.floor((F.col("s_suppkey") - first) / chunk.MAX_ROWS) + 1).cast("long")).groupBy("part")
+    said = F.concat(F.lit("Markdown table with "), F.col("data_rows").cast("string"), F.lit(" data rows and 4 columns (part "), F.col("part").cast("string"), F.lit(f" of {parts}). Columns: s_suppkey, s_name, s_nationkey, s_acctbal."))
+    return p.agg(F.count("*").alias("data_rows"), F.min("s_suppkey").alias("first_key"), F.max("s_suppkey").alias("last_key")).withColumn("description", said)
+
+
+@query()
+def chunk_long_text(spark, d):
+    """Windows of long texts: their number and the digest of the joined parts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            parts = [chunk.split_long(t.as_py() or "") for t in b.column(1)]
+            packed = [chunk.pack([(1, 1, p) for p in x]) for x in parts]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([max(map(len, p)) for p in parts], pa.int64()), pa.array([len(p) for p in packed], pa.int64())], names=["doc_id", "parts", "longest", "packed"])
+
+    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, parts long, longest long, packed long")
+
+
+@query("""SELECT conv_id, turn, coalesce(CAST(lag(turn) OVER w AS VARCHAR), '') AS previous, coalesce(CAST(lead(turn) OVER w AS VARCHAR), '') AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def enrich_neighbors(spark, d):
+    n = enrich.neighbours(table(spark, d, "conversations"), "conv_id", "turn", "turn")
+    s = lambda c: F.array_join(F.transform(c, lambda t: t.cast("string")), ",").alias(c)
+    return n.select("conv_id", "turn", s("previous"), s("next"))
+
+
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter([conv_id || '-' || lag(turn) OVER w, conv_id || '-' || lead(turn) OVER w, 'conv-' || conv_id], lambda x: x IS NOT NULL))), ',') AS context_ids FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+def enrich_small_to_big(spark, d):
+    c = table(spark, d, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    n = enrich.neighbours(c, "conv_id", "turn", "id")
+    ids = F.array_sort(F.array_distinct(F.concat("previous", "next", F.array(F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))))))
+    return n.select("conv_id", "turn", F.array_join(ids, ",").alias("context_ids"))
+
+
+# ---------------------------------------------------------------- filters and access
+
+
+@query("SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND source = 'src1'")
+def flt_where(spark, d):
+    return table(spark, d, "documents").where(access.where(lang=["en", "de"], source=["src1"], doc_id=[])).select("doc_id")
+
+
+_CONFIG = {
+    "default_access": "deny", "levels": {"L1": 1, "L2": 2, "L3": 3, "L4": 4, "L5": 5},
+    "knowledge_bases": [
+        {"knowledge_base": "open", "required_level": "L1", "permission_code": "KB.OPEN", "document_names": ["src0", "src1", "src2"], "document_patterns": []},
+        {"knowledge_base": "tens", "required_level": "L3", "permission_code": "KB.TENS", "document_names": [], "document_patterns": ["src1[0-4]"]},
+        {"knowledge_base": "secret", "required_level": "L5", "permission_code": "KB.SECRET", "document_names": ["src5"], "document_patterns": ["src1*"]},
+    ],
+}
+_JUDGED = """SELECT source, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 'open' WHEN regexp_full_match(source, 'src1[0-4]') THEN 'tens' WHEN source = 'src5' OR source LIKE 'src1%' THEN 'secret' END AS knowledge_base,
+coalesce(source IN ('src0', 'src1', 'src2') OR regexp_full_match(source, 'src1[0-4]'), false) AS allowed FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)"""
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    rules, levels, allow = access.load_rules(spark, _CONFIG)
+    return access.judge(table(spark, d, "documents").select("source"), rules, levels, "3", allow, "source")
+
+
+@query(_JUDGED)
+def perm_find(spark, d):
+    return judged(spark, d).select("source", "knowledge_base", "allowed")
+
+
+@query(f"SELECT d.doc_id FROM documents d JOIN ({_JUDGED}) j USING (source) WHERE j.allowed AND d.lang = 'en'")
+def perm_prefilter(spark, d):
+    docs = table(spark, d, "documents")
+    return access.prefilter(docs.where("lang = 'en'"), judged(spark, d), name="source").select("doc_id")
+
+
+@query(f"SELECT source FROM ({_JUDGED}) WHERE NOT allowed")
+def perm_postfilter(spark, d):
+    return access.postfilter(table(spark, d, "documents"), judged(spark, d), "source")[1]
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def corpus(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
+    docs = table(spark, d, "documents")
+    docs = docs.where(F.col("lang") == lang) if lang else docs
+    return docs.select(F.col("doc_id").alias("id"), "source", "lang", "text", tx.tokenize("text").alias("tokens"))
+
+
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"), tx.tokenize("text").alias("tokens"))
+
+
+def sql_bm25(where: str = "true", top: int = 20) -> str:
+    """CTEs that end in ``bm25(qid, id, bm25_score, rank)``."""
+    return f"""c AS (SELECT doc_id AS id, {sql_tokens('text')} AS t FROM documents WHERE {where}), c1 AS (SELECT * FROM c WHERE len(t) > 0),
+st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(CAST(len(t) AS DOUBLE)) AS al FROM c1), tok AS (SELECT id, len(t) AS l, unnest(t) AS token FROM c1),
+tf AS (SELECT id, token, count(*) AS tf, any_value(l) AS l FROM tok GROUP BY id, token), df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),
+qt AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY qid, token),
+sc AS (SELECT qid, id, round(sum(qtf * ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * l / al))), 6) AS bm25_score FROM qt JOIN tf USING (token) JOIN df USING (token), st GROUP BY qid, id),
+bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY bm25_score DESC, id) AS rank FROM sc WHERE bm25_score > 0) WHERE rank <= {top})"""
+
+
+def bm25(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
+    return retrieve.bm25_top(corpus(spark, d, lang), questions(spark, d))
+
+
+@query(f"WITH {sql_bm25()} SELECT qid, id, bm25_score, rank FROM bm25")
+def ret_bm25(spark, d):
+    return bm25(spark, d).select("qid", "id", "bm25_score", "rank")
+
+
+@query("WITH " + sql_bm25("lang = 'en'") + " SELECT qid, id, bm25_score, rank FROM bm25")
+def ret_bm25_filtered(spark, d):
+    return bm25(spark, d, "en").select("qid", "id", "bm25_score", "rank")
+
+
+def sql_vector(where: str = "true", top: int = 12) -> str:
+    return f"""vec AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance,
+row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9), e.vec_id) AS rank
+FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) e WHERE q.vec_id < 10) WHERE rank <= {top})"""
+
+
+def near(spark: SparkSession, d: str, keep=None) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    q = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
+    return retrieve.vector_top((e.where(keep) if keep is not None else e).select(F.col("vec_id").alias("id"), "embedding"), q)
+
+
+# Distances of 0 come out as tiny numbers of either sign: + 0.0 and 6 digits make them equal.
+_DIST = "round(distance, 6) + 0e0 AS distance"
+
+
+@query(f"WITH {sql_vector()} SELECT qid, id, {_DIST}, rank FROM vec")
+def ret_vector(spark, d):
+    return near(spark, d).select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+@query("WITH " + sql_vector("label IN (1, 2, 3)") + f" SELECT qid, id, {_DIST}, rank FROM vec")
+def ret_vector_filtered(spark, d):
+    return near(spark, d, access.where(label=[1, 2, 3])).select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "rank")
+
+
+_MERGED = f"""{sql_bm25()}, {sql_vector()}, m AS (SELECT coalesce(v.qid, b.qid) AS qid, coalesce(v.id, b.id) AS id, v.distance, CASE WHEN v.id IS NOT NULL THEN 1 - v.distance END AS vector_score, b.bm25_score,
+CASE WHEN v.id IS NULL THEN 'bm25' WHEN b.id IS NULL THEN 'vector' ELSE 'vector,bm25' END AS sources FROM vec v FULL JOIN bm25 b ON v.qid = b.qid AND v.id = b.id),
+merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, CASE WHEN sources LIKE 'vector%' THEN 0 ELSE 1 END, bm25_score DESC NULLS LAST, id) AS rank FROM m)"""
+
+
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.merge_hits(near(spark, d), bm25(spark, d))
+
+
+@query(f"WITH {_MERGED} SELECT qid, id, {_DIST}, bm25_score, sources, rank FROM merged")
+def ret_merge(spark, d):
+    return merged(spark, d).select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "bm25_score", F.array_join("sources", ",").alias("sources"), "rank")
+
+
+_RANKED = f"""{_MERGED}, q AS (SELECT item_id AS qid, list_distinct({sql_tokens('text')}) AS qt FROM benchmark),
+x AS (SELECT m.*, list_distinct({sql_tokens('d.text')}) AS tt, list_distinct({sql_tokens("d.source || ' ' || d.lang")}) AS ht, d.lang, q.qt FROM merged m JOIN documents d ON d.doc_id = m.id JOIN q ON q.qid = m.qid),
+y AS (SELECT *, min(vector_score) OVER w AS vlo, max(vector_score) OVER w AS vhi, min(bm25_score) OVER w AS blo, max(bm25_score) OVER w AS bhi FROM x WINDOW w AS (PARTITION BY qid)),
+z AS (SELECT *, CASE WHEN vector_score IS NULL THEN 0e0 WHEN vhi - vlo <= 1e-9 * greatest(abs(vhi), abs(vlo)) THEN 1e0 ELSE (vector_score - vlo) / (vhi - vlo) END AS vn,
+CASE WHEN bm25_score IS NULL THEN 0e0 WHEN bhi - blo <= 1e-9 * greatest(abs(bhi), abs(blo)) THEN 1e0 ELSE (bm25_score - blo) / (bhi - blo) END AS bn FROM y),
+r AS (SELECT *, round(vn * 44e-2 + bn * 26e-2 + len(list_intersect(qt, tt)) / CAST(len(qt) AS DOUBLE) * 16e-2 + len(list_intersect(qt, ht)) / CAST(len(qt) AS DOUBLE) * 14e-2 + CASE WHEN sources LIKE '%,%' THEN 8e-2 ELSE 0e0 END, 6) AS rerank_score FROM z),
+ranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rank, id) AS rank FROM r)"""
+
+
+def full_hits(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("kind"), tx.tokenize("text").alias("tokens"), tx.tokenize(F.concat_ws(" ", "source", "lang")).alias("title_tokens"))
+    q = questions(spark, d).select("qid", F.col("question").alias("query"), F.array_distinct("tokens").alias("query_tokens"))
+    return merged(spark, d).join(docs, "id").join(q, "qid")
+
+
+@query(f"WITH {_RANKED} SELECT qid, id, rerank_score, rank FROM ranked")
+def rank_rule(spark, d):
+    return retrieve.rule_rerank(full_hits(spark, d)).select("qid", "id", "rerank_score", "rank")
+
+
+@query()
+def rank_mmr(spark, d):
+    r = retrieve.rule_rerank(full_hits(spark, d)).where(F.col("rank") <= 24).withColumn("token_set", F.array_distinct("tokens"))
+    return retrieve.mmr(r)
+
+
+@query()
+def rank_second_stage(spark, d):
+    return retrieve.second_stage(full_hits(spark, d)).select("qid", "id", "rank", "rerank_score", "rerank_reason", "mmr_score")
+
+
+_HITS = "SELECT l_orderkey % 40 AS qid, 'l' || l_orderkey || '-' || l_linenumber AS id, 3 AS level, 'o' || l_orderkey AS parent_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_orderkey <= 400"
+
+
+def leaf_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    li = table(spark, d, "lineitem").where("l_orderkey <= 400")
+    w = Window.partitionBy("qid").orderBy("l_orderkey", "l_linenumber")
+    hits = li.withColumn("qid", F.col("l_orderkey") % 40).select("qid", F.concat(key("l", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.lit(3).alias("level"), key("o", "l_orderkey").alias("parent_id"), F.col("l_extendedprice").alias("score"), F.row_number().over(w).cast("long").alias("rank"))
+    o = table(spark, d, "orders").select(key("o", "o_orderkey").alias("id"), F.lit(2).alias("level"), key("c", "o_custkey").alias("parent_id"))
+    c = table(spark, d, "customer").select(key("c", "c_custkey").alias("id"), F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent_id"))
+    return hits, o.union(c)
+
+
+@query(f"""WITH h AS ({_HITS}), g AS (SELECT h.*, count(*) OVER (PARTITION BY qid, h.parent_id) AS n, o.o_custkey FROM h LEFT JOIN orders o ON h.parent_id = 'o' || o.o_orderkey),
+m AS (SELECT qid, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN parent_id ELSE id END AS id, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN 2 ELSE 3 END AS level, score, rank, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN n ELSE 0 END AS mc FROM g)
+SELECT qid, id, CAST(level AS INTEGER) AS level, max(score) AS score, min(rank) AS rank, max(mc) AS merged_children FROM m GROUP BY qid, id, level""")
+def ret_automerge_step(spark, d):
+    hits, parents = leaf_hits(spark, d)
+    return retrieve.merge_to_parents(hits, parents, 2).select("qid", "id", "level", "score", "rank", "merged_children")
+
+
+@query()
+def ret_automerge(spark, d):
+    hits, parents = leaf_hits(spark, d)
+    return retrieve.auto_merge(hits, parents).select("qid", "id", "level", "score", "rank", "merged_children")
+
+
+# ---------------------------------------------------------------- index and BM25 state
+
+_OLD = "SELECT doc_id, source, md5(text) AS v FROM documents WHERE doc_id % 10 <> 3"
+_NEW = "SELECT doc_id, source, md5(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS v FROM documents WHERE doc_id % 2 = 0 AND source <> 'src0'"
+_IDX = f"o AS (SELECT CAST(doc_id AS VARCHAR) || '::' || v AS id, source AS document_id FROM ({_OLD})), r AS (SELECT CAST(doc_id AS VARCHAR) || '::' || v AS id, source AS document_id FROM ({_NEW}))"
+_UNTOUCHED = "SELECT id, document_id, 'kept' AS change FROM o WHERE document_id NOT IN (SELECT document_id FROM r)"
+_REPLACED = f"WITH {_IDX} {_UNTOUCHED} UNION ALL SELECT id, document_id, CASE WHEN id IN (SELECT id FROM o) THEN 'replaced' ELSE 'inserted' END FROM r"
+_SYNC_SQL = {
+    "chunk": f"WITH {_IDX} {_UNTOUCHED} UNION ALL SELECT id, document_id, 'kept' FROM o WHERE id IN (SELECT id FROM r) UNION ALL SELECT id, document_id, 'inserted' FROM r WHERE id NOT IN (SELECT id FROM o)",
+    "incremental": f"WITH {_IDX} SELECT id, document_id, 'kept' AS change FROM o UNION ALL SELECT id, document_id, 'inserted' FROM r WHERE id NOT IN (SELECT id FROM o)",
+    "strict": _REPLACED, "force": _REPLACED,
+}
+
+
+def versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents")
+    rows = lambda f, t: f.select(F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.md5(t)).alias("id"), F.col("source").alias("document_id"))
+    new = docs.where("doc_id % 2 = 0 and source <> 'src0'")
+    return rows(docs.where("doc_id % 10 <> 3"), F.col("text")), rows(new, F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+
+
+for _mode, _sql in _SYNC_SQL.items():
+    query(_sql, f"idx_upsert_{_mode}")(lambda spark, d, m=_mode: ix.sync(*versions(spark, d), m))
+
+
+@query(f"WITH {_IDX} SELECT id, document_id FROM o WHERE document_id IN (SELECT document_id FROM r)")
+def idx_prune(spark, d):
+    old, new = versions(spark, d)
+    return ix.prune(old, new)
+
+
+@query(f"WITH {_IDX} SELECT id, document_id FROM o WHERE document_id NOT IN ('src3', 'src4')")
+def idx_delete_by(spark, d):
+    return ix.delete(versions(spark, d)[0], ids=["src3", "src4"])
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
+def src_parse_cache(spark, d):
+    docs = table(spark, d, "documents")
+    parsed = docs.where("doc_id % 3 = 0").select(tx.content_hash("text").alias("cache_key"))
+    return ix.new_inputs(docs.where("doc_id % 3 <> 0"), parsed, "text").select("doc_id")
+
+
+_STATE = f"d AS (SELECT doc_id, lang, {sql_tokens('text')} AS t FROM documents)"
+
+
+def part_of(spark: SparkSession, d: str, lang: str) -> DataFrame:
+    return table(spark, d, "documents").where(F.col("lang") == lang)
+
+
+@query(f"WITH {_STATE}, x AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM d WHERE lang = 'es') GROUP BY token) SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x")
+def bm25_state(spark, d):
+    return ix.state_of(part_of(spark, d, "es"))[0]
+
+
+@query(f"""WITH {_STATE}, x AS (SELECT lang, token, count(*) AS df FROM (SELECT lang, unnest(list_distinct(t)) AS token FROM d WHERE lang IN ('es', 'fr')) GROUP BY lang, token),
+a AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x WHERE lang = 'es'), b AS (SELECT token, df FROM x WHERE lang = 'fr'), n AS (SELECT token, df, (SELECT max(idx) FROM a) + row_number() OVER (ORDER BY token) AS idx FROM b WHERE token NOT IN (SELECT token FROM a))
+SELECT a.token, a.idx, CAST(a.df + coalesce(b.df, 0) AS BIGINT) AS df FROM a LEFT JOIN b USING (token) UNION ALL SELECT token, idx, df FROM n""")
+def bm25_add(spark, d):
+    return ix.state_add(*ix.state_of(part_of(spark, d, "es")), part_of(spark, d, "fr"))[0]
+
+
+@query(f"""WITH {_STATE}, x AS (SELECT token, count(*) AS df, count(*) FILTER (doc_id % 2 = 0) AS gone FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM d WHERE lang = 'es') GROUP BY token)
+SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df - gone AS df FROM x""")
+def bm25_remove(spark, d):
+    es = part_of(spark, d, "es")
+    return ix.state_add(*ix.state_of(es), es.where("doc_id % 2 = 0"), sign=-1)[0]
+
+
+_WEIGHTS = f"""{_STATE}, e AS (SELECT * FROM d WHERE lang = 'es'), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(t)) AS DOUBLE) / count(*) AS al FROM e),
+df AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM e) GROUP BY token),
+tf AS (SELECT doc_id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(t) AS l, unnest(t) AS token FROM e) GROUP BY doc_id, token),
+w AS (SELECT doc_id, token, idx, round(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * l / al)), 6) AS weight FROM tf JOIN df USING (token), st)"""
+
+
+@query(f"WITH {_WEIGHTS} SELECT doc_id, idx, weight FROM w WHERE weight > 0")
+def ret_sparse_vec(spark, d):
+    es = part_of(spark, d, "es")
+    v = ix.sparse_vectors(es, *ix.state_of(es), item="doc_id")
+    return v.select("doc_id", F.explode("vector").alias("idx", "weight"))
+
+
+@query(f"""WITH {_WEIGHTS}, q AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY qid, token),
+p AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE lang = 'es' AND doc_id % 40 = item_id % 40)
+SELECT p.qid, p.id, coalesce(round(sum(qtf * weight), 5), 0e0) AS state_score FROM p LEFT JOIN w ON w.doc_id = p.id AND w.weight > 0 AND EXISTS (SELECT 1 FROM q WHERE q.qid = p.qid AND q.token = w.token) LEFT JOIN q ON q.qid = p.qid AND q.token = w.token GROUP BY p.qid, p.id""")
+def ret_rescore(spark, d):
+    es = part_of(spark, d, "es")
+    qs = questions(spark, d)
+    hits = es.withColumn("k", F.col("doc_id") % 40).join(qs.select("qid", (F.col("qid") % 40).alias("k")), "k").select("qid", F.col("doc_id").alias("id"), "text")
+    return ix.rescore(hits, qs, *ix.state_of(es))
+
+
+# ---------------------------------------------------------------- evaluation
+
+_EXPECTED = "ex AS (SELECT b.item_id AS qid, 'c' || b.item_id % 4 AS category, d.doc_id FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text))"
+
+
+def expected(spark: SparkSession, d: str) -> DataFrame:
+    """Cases: the documents that hold the question's text, found by its rarest word first."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    words = F.filter(F.split("q", r"[ \n.,]+"), lambda w: F.length(w) > 2)
+    key = F.element_at(F.array_sort(words, lambda x, y: (F.length(x) - F.length(y)).cast("int")), -1)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    longest = b.where(F.size(words) > 0).withColumn("w", key)
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n.,]+"))).alias("w")).join(retrieve.checked_broadcast(longest.select("w").distinct()), "w", "left_semi")
+    found = tokens.join(longest, "w").join(docs, "doc_id").where(F.contains("text", F.col("q"))).select("qid", "doc_id").distinct()
+    g = found.groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias("documents"))
+    return b.join(g, "qid", "left").select("qid", F.concat(F.lit("c"), (F.col("qid") % 4).cast("string")).alias("category"), F.coalesce("documents", F.array().cast("array<bigint>")).alias("documents"))
+
+
+def _per_k(expr: str) -> str:
+    return ", ".join(expr.format(k=k) for k in evaluate.K_VALUES)
+
+
+_CASES = f"""{sql_bm25()}, {_EXPECTED}, f AS (SELECT ex.qid, any_value(category) AS category, count(DISTINCT ex.doc_id) AS n, min(rank) AS first_rank, {_per_k('count(*) FILTER (rank <= {k}) AS n_{k}')}
+FROM ex LEFT JOIN bm25 b ON b.qid = ex.qid AND b.id = ex.doc_id GROUP BY ex.qid),
+cases AS (SELECT qid, category, first_rank, round(coalesce(1e0 / first_rank, 0e0), 6) AS mrr, {_per_k('n_{k} > 0 AS doc_hit_{k}, round(CASE WHEN n > 0 THEN n_{k} / CAST(n AS DOUBLE) ELSE 0e0 END, 6) AS doc_recall_{k}')} FROM f)"""
+
+
+def case_rows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.cases(bm25(spark, d).select("qid", "rank", F.col("id").alias("document")), expected(spark, d))
+
+
+@query(f"WITH {_CASES} SELECT * FROM cases")
+def ev_case(spark, d):
+    return case_rows(spark, d)
+
+
+_MEANS = "round(avg(mrr), 6) AS mrr, " + _per_k("round(avg(CAST(doc_hit_{k} AS INTEGER)), 6) AS doc_hit_{k}, round(avg(doc_recall_{k}), 6) AS doc_recall_{k}")
+
+
+@query(f"WITH {_CASES} SELECT CASE WHEN grouping(category) = 1 THEN 'overall' ELSE category END AS category, count(*) AS cases, {_MEANS} FROM cases GROUP BY GROUPING SETS ((), (category))")
+def eval_by_category(spark, d):
+    return evaluate.by_category(case_rows(spark, d))
+
+
+@query(f"""WITH {sql_bm25()}, k AS (SELECT item_id AS qid, unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 6))) AS w FROM benchmark),
+r AS (SELECT k.qid, k.w, min(b.rank) AS rank FROM k JOIN bm25 b USING (qid) JOIN documents d ON d.doc_id = b.id WHERE contains(lower(d.text), k.w) GROUP BY k.qid, k.w),
+n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid) SELECT b.item_id AS qid, {_per_k('round(CASE WHEN coalesce(n.n, 0) > 0 THEN (SELECT count(*) FROM r WHERE r.qid = b.item_id AND r.rank <= {k}) / CAST(n.n AS DOUBLE) ELSE 0e0 END, 6) AS keyword_recall_{k}')} FROM benchmark b LEFT JOIN n ON n.qid = b.item_id""")
+def ev_kw_recall(spark, d):
+    ex = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 6).alias("keywords"))
+    hits = bm25(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return evaluate.keyword_recall(hits, ex)
+
+
+@query(f"WITH {_CASES} SELECT m AS metric, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max, count(v) AS count, count(*) - count(v) AS errors FROM (SELECT 'mrr' AS m, mrr AS v FROM cases UNION ALL SELECT 'doc_recall_5', doc_recall_5 FROM cases UNION ALL SELECT 'first_rank', CAST(first_rank AS DOUBLE) FROM cases) GROUP BY m")
+def ev_batch(spark, d):
+    return evaluate.summary(case_rows(spark, d), ["mrr", "doc_recall_5", "first_rank"])
+
+
+@query(f"WITH {_RANKED} SELECT qid, count(*) FILTER (rerank_score > 3e-1 OR coalesce(bm25_score, 0) > 0) AS relevant, count(*) AS hits FROM ranked GROUP BY qid")
+def ev_grade_count(spark, d):
+    return evaluate.relevant_count(retrieve.rule_rerank(full_hits(spark, d)))
+
+
+@query("SELECT l.quality, l.toxic, count(*) AS docs, CAST(sum(d.n_chars) AS BIGINT) AS chars FROM labels l JOIN documents d USING (doc_id) GROUP BY l.quality, l.toxic")
+def label_counts(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return j.groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+
+
+@query("SELECT DISTINCT source AS document_name FROM documents WHERE source IS NOT NULL")
+def src_docs_available(spark, d):
+    return table(spark, d, "documents").where("source is not null").select(F.col("source").alias("document_name")).distinct()
+
+
+@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
+def snk_hybrid(spark, d):
+    kinds = ["de", "en", "es", "fr"]
+    return table(spark, d, "documents").groupBy("source").pivot("lang", kinds).count().na.fill(0, kinds)
+
+
+@query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS d, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S.%g+08:00') AS ts FROM events")
+def snk_log(spark, d):
+    return readers.log_rows(table(spark, d, "events"), "events").select("event_id", "d", "ts")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2")
+def log_windows(spark, d):
+    return event_counts(table(spark, d, "events")).withColumn("start", F.col("start").cast(table(spark, d, "events").schema["ts"].dataType))
+
+
+# ---------------------------------------------------------------- context, prompts, understanding, whole runs
+
+
+def small_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    chunks = enrich.enrich(page_chunks(spark, d)).persist()
+    return pipelines.to_index(chunks, pipelines.Settings()).persist(), chunks
+
+
+def page_questions(spark: SparkSession, d: str) -> DataFrame:
+    p = page_documents(spark, d).select(F.col("document_id").alias("qid"), F.element_at(F.filter(F.split("text", "\n"), lambda s: F.length(s) > 10), 1).alias("question"))
+    return p.where("question is not null and qid rlike '[05]$'")
+
+
+@query()
+def ctx_compress(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
+    hits = bm25(spark, d).join(docs, "id")
+    item = F.struct(F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), F.lit("text_chunk").alias("type"), F.lit("hit").alias("role"), F.col("text").alias("content"), F.array("lang").alias("title_path"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("line_range"), F.lit("").alias("table_text"), F.lit("").alias("table_description"), F.col("id").cast("string").alias("document_id"), F.col("source").alias("document_name"))
+    blocks = context.compress(context.candidates(hits.select("qid", "rank", F.col("bm25_score").alias("score"), F.array(item).alias("context"))))
+    return blocks.select("qid", "citation_no", "citation_id", "id", F.round("score", 6).alias("score"), F.length("content").alias("chars"))
+
+
+@query("""SELECT item_id AS qid, '【用户问题】' || chr(10) || text || chr(10) || chr(10) || '【检索上下文】' || chr(10) || '[C1] 文档: ' || coalesce(source, '') || '; 章节: ' || lang || '; 类型: text_chunk; 行号: [1, 1]' || chr(10) || substr(t, 1, 50) || chr(10) || chr(10) ||
+'【输出要求】' || chr(10) || '- 先给出直接答案。' || chr(10) || '- 再列出依据，引用 [C1] 这样的证据编号。' || chr(10) || '- 如果依据不足，说明缺失哪些资料。' AS prompt FROM benchmark JOIN (SELECT doc_id, text AS t, source, lang FROM documents) ON doc_id = item_id""")
+def prm_build(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.lit(1).alias("citation_no"), F.lit("C1").alias("citation_id"), F.lit("text_chunk").alias("chunk_type"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("id"), F.col("source").alias("document_name"), F.array("lang").alias("title_path"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("line_range"), F.substring("text", 1, 50).alias("content"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    blocks = docs.join(q.select("qid"), "qid", "left_semi")
+    return context.prompts(q, blocks).where(F.size("citations") > 0).select("qid", F.col("messages")[1]["content"].alias("prompt"))
+
+
+@query()
+def qu_prepare(spark, d):
+    q = questions(spark, d).select("qid", "question")
+    return pipelines.understood(q, pipelines.Settings()).select("qid", "query_texts", "keyword_texts", "want_documents", "want_types", "route.needs_retrieval")
+
+
+@query()
+def qu_grade(spark, d):
+    hits = bm25(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    return understand.grade(questions(spark, d).select("qid", "question"), hits, RuleChat())
+
+
+@query()
+def qu_expand(spark, d):
+    return understand.expand_queries(questions(spark, d).select("qid", "question"), RuleChat())
+
+
+@query()
+def ev_faithfulness(spark, d):
+    c = table(spark, d, "conversations").groupBy(F.col("conv_id").alias("qid")).agg(F.min_by("text", "turn").alias("question"), F.max_by("text", "turn").alias("answer"), F.collect_list("text").alias("contexts"))
+    return understand.faithfulness(c, RuleChat()).join(understand.relevancy(c, RuleChat(), HashedEmbedder()), "qid", "left")
+
+
+@query()
+def pl_standard(spark, d):
+    index, chunks = small_run(spark, d)
+    return pipelines.ask(index, chunks, page_questions(spark, d), keep=lambda df, _: df.persist()).select("qid", "question", "status", "answer", "citations")
+
+
+@query()
+def pl_ingest(spark, d):
+    return small_run(spark, d)[0].select("id", "chunk_id", "document_id", "kind", F.size("tokens").alias("n_tokens"), F.size("embedding").alias("width"))
