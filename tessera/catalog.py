@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .functions import clean, text as tx
 from .operators import access, chunk, context, enrich, evaluate, index as ix, retrieve, understand
 from .plans import pipelines, schema
+from .plans.store import keeper
 from .sources import readers
 from .sources.providers import HashedEmbedder, RuleChat
 from .streaming.ingest import event_counts
@@ -607,8 +608,9 @@ def log_windows(spark, d):
 
 
 def small_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = enrich.enrich(page_chunks(spark, d)).persist()
-    return pipelines.to_index(chunks, pipelines.Settings()).persist(), chunks
+    keep = keeper(spark)
+    chunks = keep(enrich.enrich(page_chunks(spark, d)), "chunks")
+    return keep(pipelines.to_index(chunks, pipelines.Settings()), "index"), chunks
 
 
 def page_questions(spark: SparkSession, d: str) -> DataFrame:
@@ -660,7 +662,14 @@ def ev_faithfulness(spark, d):
 @query()
 def pl_standard(spark, d):
     index, chunks = small_run(spark, d)
-    return pipelines.ask(index, chunks, page_questions(spark, d), keep=lambda df, _: df.persist()).select("qid", "question", "status", "answer", "citations")
+    return pipelines.ask(index, chunks, page_questions(spark, d), keep=keeper(spark)).select("qid", "question", "status", "answer", "citations")
+
+
+@query()
+def pl_enhanced(spark, d):
+    """Questions graded, with up to two more rounds of expanded queries for those that fail."""
+    index, _ = small_run(spark, d)
+    return pipelines.ask_again(index, page_questions(spark, d), keeper(spark))[0]
 
 
 @query()

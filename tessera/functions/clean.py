@@ -17,6 +17,8 @@ TABLE = r"(?is)<table\b.*?</table>"
 #: Headings that open a table of contents, tags that go while their text stays, and page-number lines.
 TOC = r"(?iU)^#{1,6}\s*(目录|Table of Contents|TOC)\s*$"
 TAGS = r"(?i)</?(div|span|font|center|p|br|strong|em|b|i|u|section|article)[^>]*>"
+#: Fixed value: rows of a table that hold only rules.
+SEPARATOR = r"(?U)\A\|?[\s:.\-]+\|[\s|:.\-]+\z"
 PAGE_NUMBERS = (r"(?U)^[-–—]?\s*\d{1,4}\s*[-–—]?$", r"(?iU)^(第\s*)?\d{1,4}\s*(页|/\s*\d{1,4}|of\s+\d{1,4})$", r"(?iU)^Page\s+\d{1,4}(\s*/\s*\d{1,4})?$")
 
 
@@ -105,7 +107,7 @@ def table_separator(s: Column | str) -> Column:
         )
 
     rebuilt = F.concat(F.lit("| "), F.array_join(F.transform(cells, cell), " | "), F.lit(" |"))
-    return F.when(s.rlike(r"(?U)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$"), rebuilt).otherwise(s)
+    return F.when(s.rlike(SEPARATOR), rebuilt).otherwise(s)
 
 
 def table_separators(x: Column | str) -> Column:
