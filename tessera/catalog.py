@@ -506,7 +506,7 @@ def ret_sparse_vec(spark, d):
 
 @query(f"""WITH {_WEIGHTS}, q AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY qid, token),
 p AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE lang = 'es' AND doc_id % 40 = item_id % 40)
-SELECT p.qid, p.id, coalesce(round(sum(qtf * weight), 5), 0e0) AS state_score FROM p LEFT JOIN w ON w.doc_id = p.id AND w.weight > 0 AND EXISTS (SELECT 1 FROM q WHERE q.qid = p.qid AND q.token = w.token) LEFT JOIN q ON q.qid = p.qid AND q.token = w.token GROUP BY p.qid, p.id""")
+SELECT p.qid, p.id, coalesce(CAST(sum(CAST(qtf AS DECIMAL(9,0)) * CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 0e0) AS state_score FROM p LEFT JOIN w ON w.doc_id = p.id AND w.weight > 0 AND EXISTS (SELECT 1 FROM q WHERE q.qid = p.qid AND q.token = w.token) LEFT JOIN q ON q.qid = p.qid AND q.token = w.token GROUP BY p.qid, p.id""")
 def ret_rescore(spark, d):
     es = part_of(spark, d, "es")
     qs = questions(spark, d)

@@ -132,5 +132,5 @@ def rescore(hits: DataFrame, questions: DataFrame, state: DataFrame, corpus: Dat
     q = questions.select(qid, F.explode(tokenize("question")).alias("token")).groupBy(qid, "token").agg(F.count("*").alias("qtf"))
     w = weights(hits.select(item, text).dropDuplicates([item]), state, corpus, item, text)
     pairs = hits.select(qid, item).distinct().join(checked_broadcast(q), qid).join(w, [item, "token"])
-    s = pairs.groupBy(qid, item).agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 5).alias("s"))
+    s = pairs.groupBy(qid, item).agg(F.sum(F.col("qtf").cast("decimal(9,0)") * F.col("weight").cast("decimal(20,6)")).cast("double").alias("s"))
     return hits.select(qid, item).distinct().join(s, [qid, item], "left").select(qid, item, F.coalesce("s", F.lit(0.0)).alias("state_score"))
