@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
+from .store import small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks end about every LEAST + 2**BITS bytes, after LEAST and before MOST.
@@ -224,6 +225,7 @@ def dictionary(rows: DataFrame, hashes: dict[int, int], vocabulary: str | None)
 
 def encode_decode(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
     """One row per input row: id, n_tokens, ids (little-endian unsigned 32-bit integers), decoded text, n_reused chunks."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     shared = rows.sparkSession.sparkContext.broadcast(dictionary(rows, shared_chunks(rows, dictionary_bytes), vocabulary))
 

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .store import small_batches
+
 VOCABULARY, LIMIT = "byte_bpe_50k.json", 512
 #: Fixed value: the pattern of byte-level vocabularies that splits text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -116,6 +118,7 @@ _COUNTERS: dict[str, Counter] = {}
 
 def count_tokens(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, limit: int = LIMIT) -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, over_limit. ``vocabulary`` is a file that every executor has."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias(doc_id), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernel as K
-from .store import materialize
+from .store import materialize, small_batches
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 32 << 20
 
@@ -137,6 +137,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
 
     ``spans`` are the hit word ranges as [first word, words] pairs, flattened. See the module for method and edge cases.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     wins = materialize(item_windows(items, item_id, item_text, window), "decontaminate-windows")
     total = wins.agg(F.sum(F.length("phrase") + F.length("item") + 64)).first()[0] or 0
@@ -198,3 +199,15 @@ def query(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS} AS t FROM documents),
+k AS (SELECT item, t, CASE WHEN len(t) < {WINDOW} THEN len(t) ELSE {WINDOW} END AS n FROM (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS t FROM benchmark WHERE item_id IS NOT NULL) WHERE len(t) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(list_slice(t, a, a + n - 1), ' ') AS p FROM (SELECT item, t, n, unnest(range(1, len(t) - n + 2)) AS a FROM k)),
+dw AS (SELECT doc_id, n, a, array_to_string(list_slice(t, a, a + n - 1), ' ') AS p FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS a FROM w, (SELECT DISTINCT n FROM win) WHERE len(t) >= n)),
+hit AS (SELECT dw.doc_id, dw.a, dw.n, win.item FROM dw JOIN win ON dw.n = win.n AND dw.p = win.p),
+pos AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(a, a + n)) AS x FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.t) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)"""

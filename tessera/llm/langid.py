@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .sample import remainder, stratified
+from .store import small_batches
 
 PER_LANGUAGE, LANDMARKS = 500, 160
 WIDTHS = {1: 8, 2: 12, 3: 13, 4: 13}  # n -> bits of the hash
@@ -116,6 +117,7 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", learn: Column | None = None, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> Model | None:
     """A model from the rows for which ``learn`` holds and the label is not null; None if there are none."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"), (learn if learn is not None else F.lit(True)).alias("learn"))
     chosen = stratified(rows.where("learn"), "lang", "id", per_language, "langid").select("id", "lang", "text")
 
@@ -140,6 +142,7 @@ def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep:
 
     ``score`` is the softmax of the decision values at the chosen language.
     """
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

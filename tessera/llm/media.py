@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
 from .webp import decode_bytes, encode_bytes
+from .store import small_batches
 
 UNIT = 64
 
 
 def store(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_bytes, payload_bytes, media): the stored form of each text."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias(doc_id), F.col(text).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from . import kernel as K
 from .sample import remainder, stratified
+from .store import small_batches
 
 PER_GRADE, BITS = 800, 13
 DIM = 1 << BITS
@@ -114,6 +115,7 @@ def _slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", learn: Column | None = None, per_grade: int = PER_GRADE) -> Ordinal | None:
     """A model from (doc_id, grade) with grades 0, 1, ...; None with fewer than two grades. ``learn`` judges the ratings' id."""
+    small_batches(docs.sparkSession)
     rated = ratings.select(F.col(doc_id), F.col(grade).cast("int").alias("grade")).where(F.col("grade") >= 0).where(learn if learn is not None else F.lit(True)).distinct()
     counts = {r.grade: r["count"] for r in rated.groupBy("grade").count().collect()}
     chosen = stratified(rated, "grade", doc_id, per_grade, "quality").select(F.col(doc_id).alias("id"), "grade")
@@ -144,6 +146,7 @@ def grade(docs: DataFrame, model: Ordinal | None, *, text: str = "text", keep: l
 
     ``kept``: the probability of grade 1 or more reaches ``tail``.
     """
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

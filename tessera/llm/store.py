@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +27,52 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lets Arrow batches hold at most ``rows`` rows, where the session still has Spark's 10000: texts are long, and a batch is
+    held by the executor and by the Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet to the shared folder and reads them again: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _RUNNING:
+        _RUNNING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that running operators have written, the innermost operator last.
+_RUNNING: list[list[str]] = []
+
+
+def in_scratch(label: str) -> Callable:
+    """For operators whose work is done when they return: their result is written as one table, and all other tables that
+    they wrote on the way are removed."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **options) -> DataFrame:
+            _RUNNING.append([])
+            try:
+                lazy = operator(*args, **options)
+                mine = list(_RUNNING[-1])
+                out = materialize(lazy, label)
+            finally:
+                written = _RUNNING.pop()
+            for path in written[: len(mine)]:
+                _remove(out.sparkSession, path)
+            if _RUNNING:
+                _RUNNING[-1] += written[len(mine) :]
+            return out
+
+        return run
+
+    return wrap
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """A reliable checkpoint that keeps the partitions as they are."""
     shared_dir(df.sparkSession)
@@ -40,8 +81,10 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def drop(df: DataFrame) -> None:
     """Removes what ``materialize`` wrote for this frame, when nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for f in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
-        p = jvm.org.apache.hadoop.fs.Path(f)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _remove(df.sparkSession, f)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .sample import remainder, stratified
+from .store import small_batches
 
 PER_LABEL, MOST_WORDS = 1500, 50_000
 BUCKET_BITS, SIZE, FILTERS, SPANS = 16, 16, 16, (1, 2, 3)
@@ -201,6 +202,7 @@ def word_hashes(b: pa.RecordBatch, text: str) -> K.Words:
 
 def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", learn: Column | None = None, per_label: int = PER_LABEL, most_words: int = MOST_WORDS) -> Net | None:
     """A network from the labelled rows for which ``learn`` (on the labels' id) holds; None without both labels."""
+    small_batches(docs.sparkSession)
     rated = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(learn if learn is not None else F.lit(True)).distinct()
     counts = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
     chosen = stratified(rated, "label", doc_id, per_label, "toxicity").select(F.col(doc_id).alias("id"), "label")
@@ -233,6 +235,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, net: Net | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    small_batches(docs.sparkSession)
     """The columns ``keep`` (all of them if None) with ``score``, from the text alone."""
     keep = docs.columns if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
