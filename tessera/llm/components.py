@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .store import materialize
+from .store import drop, materialize
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -38,7 +38,8 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFr
     for _ in range(max_rounds):
         if not before[0]:
             break
-        e = materialize(_small_star(_large_star(e)), "components")
+        last, e = e, materialize(_small_star(_large_star(e)), "components")
+        drop(last)
         after = _state(e)
         if after == before:
             break

@@ -9,8 +9,8 @@
    collision-corrected estimate by XOR and bit counts; pairs more than five standard deviations below the threshold are
    dropped, the others confirmed on their full shingle sets. A few bands come first; their links connect most copies.
 4. Then, over all bands, only buckets whose members are still in different components: first the members outside a
-   bucket's largest component against that component's smallest id, then all pairs across components by the estimate, in
-   blocks of bounded size. So every pair that shares a bucket is confirmed, ruled out by its estimate, or already
+   bucket's largest component against that component's smallest id, then all pairs across components by the estimate and
+   by one from wide signatures (1024 minima, made for these documents only), in blocks of bounded size. So every pair that shares a bucket is confirmed, ruled out by its estimate, or already
    connected: no cap, no lost link.
 
 Defined results: a document without words has no shingles and no links; one of fewer words than a shingle has one
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .components import components
-from .store import materialize
+from .store import drop, in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 2
@@ -36,18 +36,22 @@ _N = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(20240117))
 _MUL = _rng.integers(0, 2**32, _N, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, _N, dtype=np.uint32)
+#: Minima of the wide signature, made only where members of a bucket stay apart.
+WIDE = 1024
+_WIDE_MUL = _rng.integers(0, 2**32, WIDE, dtype=np.uint32) | np.uint32(1)
+_WIDE_ADD = _rng.integers(0, 2**32, WIDE, dtype=np.uint32)
 _LANES = 0x5555555555555555
 BLOCK, FIRST_BANDS = 512, 4
 #: Ids that a broadcast may hold; beyond that many, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
 
-def minima(hashes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, begins: np.ndarray, mul: np.ndarray = _MUL, add: np.ndarray = _ADD) -> np.ndarray:
     """documents x permutations; document i has the shingles from begins[i] up to the next."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(begins), _N), np.uint32)
-    for j in range(_N):
-        out[:, j] = np.minimum.reduceat(x * _MUL[j] + _ADD[j], begins)
+    out = np.empty((len(begins), len(mul)), np.uint32)
+    for j in range(len(mul)):
+        out[:, j] = np.minimum.reduceat(x * mul[j] + add[j], begins)
     return out
 
 
@@ -60,14 +64,14 @@ def band_hashes(mins: np.ndarray) -> np.ndarray:
 
 def pack(mins: np.ndarray) -> np.ndarray:
     """The low 2 bits of each minimum, 32 to a long."""
-    low = (mins & np.uint32(3)).astype(np.uint64).reshape(len(mins), _N // 32, 32)
+    low = (mins & np.uint32(3)).astype(np.uint64).reshape(len(mins), -1, 32)
     return np.bitwise_or.reduce(low << (np.arange(32, dtype=np.uint64) * np.uint64(BITS)), axis=2).view(np.int64)
 
 
-def least_matches(percent: int, sigmas: float = 5.0) -> int:
+def least_matches(percent: int, lanes: int = _N, sigmas: float = 5.0) -> int:
     """Matching 2-bit lanes that a pair at the threshold exceeds but for chance of ``sigmas`` standard deviations."""
     p = percent / 100 + (1 - percent / 100) / 2**BITS  # equal minima, or unequal ones whose low bits collide
-    return max(0, int(_N * p - sigmas * (_N * p * (1 - p)) ** 0.5))
+    return max(0, int(lanes * p - sigmas * (lanes * p * (1 - p)) ** 0.5))
 
 
 def matches(a: str, b: str) -> Column:
@@ -85,6 +89,33 @@ def similarity_estimate(a: str, b: str) -> Column:
     return (matches(a, b) / F.lit(float(_N)) - c) / (1 - c)
 
 
+def wide_close(a: str, b: str, percent: int) -> Column:
+    """The same judgement from wide signatures: sizes that allow the threshold, and enough matching lanes."""
+    n, m = F.element_at(a, -1), F.element_at(b, -1)
+    differ = lambda x, y: x.bitwiseXOR(y)
+    count = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LANES)))
+    apart = F.aggregate(F.zip_with(F.slice(a, 1, WIDE // 32), F.slice(b, 1, WIDE // 32), differ), F.lit(0), lambda s, x: s + count(x))
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (WIDE - apart >= least_matches(percent, WIDE))
+
+
+def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(id, wide) of rows (id, text): the packed low bits of WIDE minima, and the number of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in K.slices(whole, "text"):
+                sets = _sets(b, shingle)
+                n = np.array([len(s) for s in sets], np.int64)
+                some = np.flatnonzero(n)
+                out = np.zeros((0, WIDE // 32 + 1), np.int64)
+                if len(some):
+                    mins = minima(np.concatenate(sets), (np.cumsum(n) - n)[some], _WIDE_MUL, _WIDE_ADD)
+                    out = np.hstack([pack(mins), n[some, None]])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(list(out), pa.list_(pa.int64()))], names=["id", "wide"])
+
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, wide array<long>")
+
+
 def _sets(b: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     return K.shingle_sets(K.Words(*K.text_bytes(b.column(1)), K.NONSPACE), shingle)
 
@@ -127,25 +158,31 @@ def full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. docs: (id, text)."""
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "neardup-needed")
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows with these ids."""
+    need = materialize(ids, "neardup-needed")
     if need.count() <= BROADCAST_IDS:
         need = F.broadcast(need)
-    sets = full_sets(docs.join(need, "id", "left_semi").select("id", "text"), shingle)
+    return docs.join(need, "id", "left_semi").select("id", "text")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the threshold. docs: (id, text)."""
+    sets = full_sets(rows_of(docs, pairs.select(F.col("a").alias("id")).distinct().union(pairs.select("b").distinct()).distinct()), shingle)
     left = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = left.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
-def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK, first_bands: int = FIRST_BANDS) -> DataFrame:
+def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK, first_bands: int = FIRST_BANDS, refine: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None) -> DataFrame:
     """(node, component) over classes (id, bands, sig) that share a band and are close.
 
     ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to.
     Three rounds, each over buckets that the rounds before left in several components: stars around the smallest id in
     the first bands; in all bands, stars around the bucket's largest component; all pairs across components, compared
-    in blocks of about ``block`` by ``block``.
+    in blocks of about ``block`` by ``block``. ``refine`` gives, for ids, (id, wide) and a judgement of two ``wide``
+    columns, which the last round asks for as well.
     """
     sigs = classes.select("id", "sig")
 
@@ -155,7 +192,9 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Calla
 
     def settled(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         pairs = materialize(pairs.distinct(), "link-pairs")
-        pairs = confirm(pairs) if confirm else pairs
+        pairs, raw = (confirm(pairs), pairs) if confirm else (pairs, None)
+        if raw is not None:
+            drop(raw)
         if before is not None:
             if pairs.isEmpty():
                 return before
@@ -168,10 +207,13 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Calla
 
     def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
         """(bucket, id, label) of buckets in several components."""
-        named = members.join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
+        named = members.select("bucket", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
         named = materialize(named, "link-labelled")
+        drop(members)
         several = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-        return materialize(named.join(several, "bucket", "left_semi"), "link-open")
+        out = materialize(named.join(several, "bucket", "left_semi"), "link-open")
+        drop(named)
+        return out
 
     labels = classes.select("id", "bands").join(linked.withColumnRenamed("node", "id"), "id", "left").select(F.explode("bands").alias("bucket"), "id", F.coalesce("component", "id").alias("label"))
     several = labels.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
@@ -180,24 +222,32 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Calla
     top = groups.groupBy("bucket").agg(F.max(F.struct("n", "a", "label")).alias("top")).select("bucket", "top.a", F.col("top.label").alias("most"))
     linked = linked_by(members.join(top, "bucket").where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
 
-    members = still_open(members.select("bucket", "id"), linked)
+    members = still_open(members, linked)
     blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rest = members.join(blocks, "bucket").join(sigs, "id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    left = rest.select("bucket", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("gx"))
-    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("gy"))
+    rest = members.join(blocks, "bucket").join(classes.select("id", "sig", "bands"), "id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    wide = F.lit(None)
+    if refine:
+        rest, wide = rest.join(materialize(refine[0](members.select("id").distinct()), "link-wide"), "id"), F.col("wide")
+    left = rest.select("bucket", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("gx"), F.col("bands").alias("bx"), wide.alias("wx"))
+    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("gy"), F.col("bands").alias("by"), wide.alias("wy"))
     on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("lx") != F.col("ly"))
     on = on & ((F.col("l.i") < F.col("l.j")) | (F.col("x") < F.col("y"))) & close("gx", "gy")
+    if refine:
+        on = on & refine[1]("wx", "wy")
+    on = on & (F.col("l.bucket") == F.array_min(F.array_intersect("bx", "by")))  # a pair counts in one of its buckets only
     return settled(left.alias("l").join(right.alias("r"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), linked)
 
 
+@in_scratch("neardup-result")
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (smallest id reachable), kept. See the module."""
+    small_batches(docs.sparkSession)
     least = least_matches(percent)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     sig = materialize(signatures(rows, "id", "text", shingle), "neardup-signatures")
     linkable = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(linkable.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig", "bands")).alias("m")).select("fa", "fb", "m.*"), "neardup-classes")
-    linked = link(classes, lambda x, y: matches(x, y) >= least, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), block)
+    linked = link(classes, lambda x, y: matches(x, y) >= least, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), block, refine=(lambda ids: wide_signatures(rows_of(rows, ids), shingle), lambda x, y: wide_close(x, y, percent)))
     roots = classes.select("fa", "fb", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("root"))
     out = sig.select("id", "n", "fa", "fb").join(roots, ["fa", "fb"], "left")
     root = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))
@@ -207,3 +257,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: near-duplicate components of all ``documents``."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(t) < 5 THEN array_to_string(t, ' ') ELSE array_to_string(list_slice(t, a, a + 4), ' ') END AS g FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 4, 1) + 1)) AS a FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 75 * (na.n + nb.n - i)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+m AS (SELECT a AS doc_id, min(b) AS low FROM r GROUP BY a)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id, least(w.doc_id, coalesce(low, w.doc_id)) = w.doc_id AS kept FROM w LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""

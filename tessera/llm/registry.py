@@ -17,4 +17,5 @@ QUERIES = {
     "op10_quality": quality.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others rest on checksums, tokenizers or fitted models, which SQL lacks; tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": decontaminate.ORACLE_SQL, "op6_near_duplicates": neardup.ORACLE_SQL}
