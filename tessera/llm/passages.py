@@ -6,9 +6,9 @@ share a paragraph, wherever in its line the passage stands.
 
 1. Count the anchors (the shingles at which paragraphs start) over all documents; a paragraph whose anchor is in one
    document only can't repeat. Only anchors and positions are shuffled.
-2. The documents with repeated anchors make the paragraphs there: the shingle set, and 10 bands of 3 minima, by which a
-   pair of similarity 0.75 collides with probability 0.996.
-3. Equal sets are one class; classes that share a band are joined, star first, and confirmed by exact Jaccard on the sets.
+2. The documents with repeated anchors make the paragraphs there. Equal shingle sets are one class.
+3. Each class has 8 bands of 4 minima: a pair of similarity 0.75 collides with probability 0.95, one of 0.85 with 0.998.
+   Classes that share a band are joined, star first, and confirmed by exact Jaccard on the sets.
 4. Components of the confirmed links are clusters. A cluster in two documents or more keeps the paragraphs of its smallest
    doc_id; in the others they are removed. Overlapping paragraphs of a document are merged into passages.
 
@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernel as K
-from .neardup import link
-from .store import materialize
+from .neardup import BROADCAST_IDS, link
+from .store import in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
-LENGTH, SPREAD = 28, 20
-BANDS, ROWS = 10, 3
+LENGTH, SPREAD = 24, 24
+BANDS, ROWS = 8, 4
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _PLACE_BITS = 26
@@ -92,7 +92,10 @@ def _anchor_rows(rows: DataFrame, with_place: bool) -> DataFrame:
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
-    """(id, version, start, end, key, set, bands) of the paragraphs at word positions ``places`` of rows (id, version, places, text); offsets in characters."""
+    """(id, version, start, end, key, set) of the paragraphs at word positions ``places`` of rows (id, version, places, text).
+
+    Offsets are in characters; ``set`` has the shingles as 32-bit hashes, and is null where this batch has shown it before.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -103,23 +106,38 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 at = places.flatten().to_numpy().astype(np.int64) + w.first[doc]
                 h, _ = w.shingles(SHINGLE)
                 sets = np.sort(h[at[:, None] + np.arange(LENGTH - SHINGLE + 1)], axis=1)
-                same = np.zeros(sets.shape, bool)
-                same[:, 1:] = sets[:, 1:] == sets[:, :-1]
                 mixed = K.mix(sets)
-                mixed[same] = 0
-                key = K.mix(mixed.sum(axis=1, dtype=np.uint64))
-                mins = np.stack([(sets * m).min(axis=1) for m in _MUL], axis=1) if len(sets) else np.zeros((0, len(_MUL)), np.uint64)
-                bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    bands = K.mix(bands * np.uint64(0x9E3779B97F4A7C15) ^ mins[:, r::ROWS])
+                mixed[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
+                key = K.mix(mixed.sum(axis=1, dtype=np.uint64)).view(np.int64)
                 chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 begin = chars[offsets[doc]]
                 start, end = chars[w.starts[at]] - begin, chars[w.ends[at + LENGTH - 1]] - begin
-                lists = lambda x: pa.array(list(x.view(np.int64)), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end), pa.array(key.view(np.int64)), lists(sets), lists(bands)], names=["id", "version", "start", "end", "key", "set", "bands"])
+                new = np.zeros(len(key), bool)
+                new[np.unique(key, return_index=True)[1]] = True
+                short = (sets >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                shown = pa.array([s if n else None for s, n in zip(short, new.tolist())], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end), pa.array(key), shown], names=["id", "version", "start", "end", "key", "set"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "version", "places", "text").mapInArrow(run, f"id {kind}, version long, start long, end long, key long, set array<long>, bands array<long>")
+    return rows.select("id", "version", "places", "text").mapInArrow(run, f"id {kind}, version long, start long, end long, key long, set array<int>")
+
+
+def banded(classes: DataFrame) -> DataFrame:
+    """The classes with the hashes of their bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(3).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64)
+            sets = K.mix(sets)
+            bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+            for k in range(BANDS):
+                for m in _MUL[k * ROWS : (k + 1) * ROWS]:
+                    least = (sets * m).min(axis=1) if len(sets) else np.zeros(0, np.uint64)
+                    bands[:, k] = K.mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) ^ least)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], names=["id", "lo", "hi", "sig", "bands"])
+
+    kind = classes.schema["lo"].dataType.simpleString()
+    return classes.select("id", "lo", "hi", "sig").mapInArrow(run, f"id long, lo {kind}, hi {kind}, sig array<int>, bands array<long>")
 
 
 def close(a: str, b: str) -> Column:
@@ -134,15 +152,20 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull() & t.isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
 
 
+@in_scratch("passages-result")
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more."""
+    small_batches(docs.sparkSession)
     rows = _rows(docs, doc_id, text)
     seen = _anchor_rows(rows.select("id", "text"), False).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    seen = materialize(seen, "passages-anchors")  # both sides of the join below are plain, so a frequent anchor is split over tasks
     places = _anchor_rows(rows, True).join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places"))
-    once = rows.join(places, ["id", "version"])
-    found = materialize(paragraphs(once), "passages-paragraphs")
-    classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bands").alias("bands"), F.first("set").alias("sig"))
-    classes = materialize(classes.withColumnRenamed("key", "id"), "passages-classes")
+    places = materialize(places, "passages-places")
+    if places.count() <= BROADCAST_IDS:  # else every text is shuffled to find the ones that have places
+        rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
+    found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
+    classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
+    classes = materialize(banded(classes.withColumnRenamed("key", "id")), "passages-classes")
     linked = link(classes.select("id", "bands", "sig"), close)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
@@ -154,7 +177,7 @@ def passages(paragraph_rows: DataFrame) -> DataFrame:
     """Overlapping paragraphs of a document merged: (id, version, start, end, removed, kept_in, clusters)."""
     p = paragraph_rows.withColumn("removed", F.col("id") != F.col("keeper"))
     w = Window.partitionBy("id", "version", "removed").orderBy("start", "end", "cluster")
-    p = p.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))).cast("int"))
+    p = p.withColumn("new", (F.col("start") > F.coalesce(F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-9)) + 3).cast("int"))
     p = p.withColumn("island", F.sum("new").over(w))
     return p.groupBy("id", "version", "removed", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("keeper").alias("kept_in"), F.min("cluster").alias("cluster")).drop("island")
 
