@@ -34,7 +34,7 @@ LEAST, MOST, BITS = 128, 4096, 9
 DICTIONARY_BYTES = 16 << 20
 _GEAR = (K.mix(np.arange(1000, 1256, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 _SPACE = ~K.NONSPACE
-_MEMORY_WORDS = 250_000
+_MEMORY_WORDS = 150_000
 
 
 def chunk_ends(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
