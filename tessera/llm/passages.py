@@ -1,24 +1,27 @@
 """Substring deduplication by paragraph MinHash banding.
 
-A paragraph is a block of ``LENGTH`` words that starts where the content says so: at each word position whose 5-word
-shingle hash is the least of ``SPREAD`` consecutive ones, and at both ends of the text. Two texts that share ``LENGTH + SPREAD - 1`` (47) words in a row
-share a paragraph, wherever in its line the passage stands.
+Natural paragraphs, for near copies: lines, and blocks of several lines between blank lines, of ``LENGTH`` words or more.
+Windows, for exact copies wherever in its line the passage stands: ``LENGTH`` words that start where the content says so, at each word
+position whose 5-word shingle hash is the least of ``SPREAD`` consecutive ones, and at both ends of the text. Two texts that
+share ``LENGTH + SPREAD - 1`` (47) words in a row share a window.
 
-1. Count the anchors (the shingles at which paragraphs start) over all documents; a paragraph whose anchor is in one
+1. Count the anchors (the shingles at which windows start) over all documents; a window whose anchor is in one
    document only can't repeat. Only anchors and positions are shuffled.
-2. The documents with repeated anchors make the paragraphs there. Equal shingle sets are one class.
+2. The documents with repeated anchors make the windows there; natural paragraphs are made of all documents. Equal shingle
+   sets are one class. Natural ones go on if their class is in two documents or shares a band with another class.
 3. Each class has 8 bands of 4 minima: a pair of similarity 0.75 collides with probability 0.95, one of 0.85 with 0.998.
-   Classes that share a band are joined, star first, and confirmed by exact Jaccard on the sets.
+   Classes that share a band are joined, star first, and confirmed by exact Jaccard on the sets. Windows and natural
+   paragraphs don't mix.
 4. Components of the confirmed links are clusters. A cluster in two documents or more keeps the paragraphs of its smallest
    doc_id; in the others they are removed. Overlapping paragraphs of a document are merged into passages.
 
-Defined results: texts shorter than a paragraph are left alone, as are rows with a null id or text; repeats within one
+Defined results: texts of fewer than ``LENGTH`` words are left alone, as are rows with a null id or text; repeats within one
 document only are no cluster; rows of equal id and text are one document; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +37,8 @@ BANDS, ROWS = 8, 4
 _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _PLACE_BITS = 26
+#: Keeps the classes and bands of natural paragraphs apart from those of windows.
+_NATURAL = np.uint64(0x6A09E667F3BCC909)
 
 
 def anchors(w: K.Words, shingle: int = SHINGLE, length: int = LENGTH, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +127,95 @@ def paragraphs(rows: DataFrame) -> DataFrame:
     return rows.select("id", "version", "places", "text").mapInArrow(run, f"id {kind}, version long, start long, end long, key long, set array<int>")
 
 
+def natural(w: K.Words, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, number of words) of lines, and of blocks of several lines between blank lines, of ``length`` words at least.
+
+    A text without blank lines is no block: copies of whole texts are found by their lines.
+    """
+    n = len(w.starts)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    doc, feed = w.doc_of_word(), w.data == 10
+    line, feeds = np.cumsum(feed)[w.starts], np.flatnonzero(feed)
+    solid = np.cumsum(K.NONSPACE[w.data])[feeds]
+    blank = np.zeros(len(w.data), bool)
+    blank[feeds[:-1][solid[1:] == solid[:-1]]] = True
+    block = np.cumsum(blank)[w.starts]
+
+    def runs(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (of[1:] != of[:-1])]))
+        return at, np.append(at[1:], n)
+
+    (a, b), (c, d) = runs(line), runs(block)
+    several = (line[c] != line[d - 1]) & ~((c == w.first[doc[c]]) & (d == w.first[doc[c] + 1]))
+    at, to = np.concatenate([a, c[several]]), np.concatenate([b, d[several]])
+    long = to - at >= length
+    return at[long], (to - at)[long]
+
+
+def natural_sets(w: K.Words, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct shingles end to end as 32-bit hashes, where each paragraph's begin, keys of the sets)."""
+    h, _ = w.shingles(SHINGLE)
+    k = count - SHINGLE + 1
+    which = np.repeat(np.arange(len(at)), k)
+    flat = h[np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(at, k)]
+    both = np.unique(which.astype(np.uint64) << np.uint64(32) | flat >> np.uint64(32))
+    begins = np.searchsorted(both >> np.uint64(32), np.arange(len(at), dtype=np.uint64))
+    short = both & np.uint64(0xFFFFFFFF)
+    return short, begins, K.mix(np.add.reduceat(K.mix(short ^ _NATURAL), begins)).view(np.int64)
+
+
+def natural_paragraphs(rows: DataFrame) -> DataFrame:
+    """(id, version, start, end, key, bands) of the natural paragraphs of rows (id, version, text); offsets in characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in K.slices(whole, "text"):
+                w, offsets = _words(b)
+                at, count = natural(w)
+                if not len(at):
+                    continue
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                short, begins, key = natural_sets(w, at, count)
+                bands = _bands(lambda m, x=K.mix(short), begins=begins: np.minimum.reduceat(x * m, begins), len(at), _NATURAL)
+                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+                begin = chars[offsets[doc]]
+                start, end = chars[w.starts[at]] - begin, chars[w.ends[at + count - 1]] - begin
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end), pa.array(key), pa.array(list(bands), pa.list_(pa.int64()))], names=["id", "version", "start", "end", "key", "bands"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.select("id", "version", "text").mapInArrow(run, f"id {kind}, version long, start long, end long, key long, bands array<long>")
+
+
+def sets_of(rows: DataFrame) -> DataFrame:
+    """(key, set) of the natural paragraphs named by ``keys`` in rows (keys, text), once for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in K.slices(whole, "text"):
+                w, _ = _words(b)
+                at, count = natural(w)
+                if not len(at):
+                    continue
+                short, begins, key = natural_sets(w, at, count)
+                need = np.unique(b.column(0).flatten().to_numpy())
+                named, where = np.unique(key, return_index=True)
+                where = where[np.isin(named, need)]
+                parts = np.split(short.astype(np.uint32).view(np.int32), begins[1:])
+                yield pa.RecordBatch.from_arrays([pa.array(key[where]), pa.array([parts[i] for i in where.tolist()], pa.list_(pa.int32()))], names=["key", "set"])
+
+    return rows.select("keys", "text").mapInArrow(run, "key long, set array<int>")
+
+
+def _bands(least: Callable[[np.uint64], np.ndarray], n: int, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """n x BANDS hashes, from a function that gives the least product of each set with a multiplier."""
+    bands = np.zeros((n, BANDS), np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) ^ salt)
+    for k in range(BANDS):
+        for m in _MUL[k * ROWS : (k + 1) * ROWS]:
+            bands[:, k] = K.mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) ^ least(m))
+    return bands.view(np.int64)
+
+
 def banded(classes: DataFrame) -> DataFrame:
     """The classes with the hashes of their bands."""
 
@@ -129,12 +223,8 @@ def banded(classes: DataFrame) -> DataFrame:
         for b in batches:
             sets = b.column(3).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64)
             sets = K.mix(sets)
-            bands = np.zeros((len(sets), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-            for k in range(BANDS):
-                for m in _MUL[k * ROWS : (k + 1) * ROWS]:
-                    least = (sets * m).min(axis=1) if len(sets) else np.zeros(0, np.uint64)
-                    bands[:, k] = K.mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) ^ least)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bands.view(np.int64)), pa.list_(pa.int64()))], names=["id", "lo", "hi", "sig", "bands"])
+            bands = _bands(lambda m, sets=sets: (sets * m).min(axis=1) if len(sets) else np.zeros(0, np.uint64), len(sets))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bands), pa.list_(pa.int64()))], names=["id", "lo", "hi", "sig", "bands"])
 
     kind = classes.schema["lo"].dataType.simpleString()
     return classes.select("id", "lo", "hi", "sig").mapInArrow(run, f"id long, lo {kind}, hi {kind}, sig array<int>, bands array<long>")
@@ -152,11 +242,28 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull() & t.isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
 
 
+def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The natural paragraphs of rows (id, version, text), and (id, lo, hi, sig, bands) of their classes that can be in a cluster."""
+    lines = materialize(natural_paragraphs(rows), "passages-lines")
+    classes = materialize(lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bands").alias("bands")), "passages-line-classes")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "key")
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("bucket")
+    near = materialize(buckets.join(shared, "bucket", "left_semi").select("key").distinct(), "passages-line-near")
+    # One document shows the set of each class; a class that shares no band needs none.
+    shown = lines.join(near, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "version")).alias("d")).groupBy("d.id", "d.version").agg(F.collect_list("key").alias("keys"))
+    shown = materialize(shown, "passages-line-shown")
+    if shown.count() <= BROADCAST_IDS:
+        rows = rows.join(F.broadcast(shown.select("id").distinct()), "id", "left_semi")
+    sets = sets_of(rows.join(shown, ["id", "version"])).groupBy("key").agg(F.first("set").alias("sig"))
+    one = classes.where("lo < hi").join(near, "key", "left_anti").select(F.col("key").alias("id"), "lo", "hi", F.lit(None).cast("array<int>").alias("sig"), F.array().cast("array<bigint>").alias("bands"))
+    return lines, one.unionByName(classes.join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands"))
+
+
 @in_scratch("passages-result")
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more."""
     small_batches(docs.sparkSession)
-    rows = _rows(docs, doc_id, text)
+    rows = rows_all = _rows(docs, doc_id, text)
     seen = _anchor_rows(rows.select("id", "text"), False).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     seen = materialize(seen, "passages-anchors")  # both sides of the join below are plain, so a frequent anchor is split over tasks
     places = _anchor_rows(rows, True).join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places"))
@@ -165,12 +272,14 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
     found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
-    classes = materialize(banded(classes.withColumnRenamed("key", "id")), "passages-classes")
+    lines, line_classes = _natural_classes(rows_all)
+    classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
     linked = link(classes.select("id", "bands", "sig"), close)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
     keys = named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster")
-    return found.select("id", "version", "start", "end", "key").join(keys, "key").select("id", "version", "start", "end", "cluster", "keeper").distinct()
+    spans = found.select("id", "version", "start", "end", "key").union(lines.select("id", "version", "start", "end", "key"))
+    return spans.join(keys, "key").select("id", "version", "start", "end", "cluster", "keeper").distinct()
 
 
 def passages(paragraph_rows: DataFrame) -> DataFrame:

@@ -65,3 +65,28 @@ def test_query_catches_every_long_repeat(spark):
     allowed = {d for v in short.values() if len(v) > 1 for d in v}
     got = {r.doc_id for r in P.query(spark, SF).collect()}
     assert want and want <= got <= allowed
+
+
+def test_near_copies_of_natural_paragraphs(spark):
+    rnd = random.Random(8)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randrange(3, 9))) for _ in range(n))
+    rows, first = [], {}
+    for k, (n, places) in enumerate([(60, [30]), (50, [25]), (80, [27, 54]), (60, [20]), (39, [19])] * 6):
+        a = prose(n).split()
+        b = [f"changed{k}x{i}" if i in places else x for i, x in enumerate(a)]
+        as_block = k % 2
+        wrap = lambda ws: "\n".join(" ".join(ws[i : i + 13]) for i in range(0, len(ws), 13)) if as_block else " ".join(ws)
+        gap = "\n \n" if as_block else "\n"
+        for i, x in ((100 + k, a), (200 + k, b)):
+            rows.append((i, f"É {prose(30)}.{gap}{wrap(x)}{gap}{prose(40)}"))
+            first[i] = wrap(x)
+    apart = prose(60).split()  # three changes: 41 of 71 shingles
+    rows += [(300, " ".join(apart)), (301, " ".join(f"z{i}" if i in (12, 28, 44) else x for i, x in enumerate(apart)))]
+    docs = table(spark, rows)
+    by = dict(rows)
+    got = P.repeated_passages(docs).collect()
+    assert {r.doc_id for r in got} <= set(first) and all(r.kept_in == 100 + r.doc_id % 100 for r in got)
+    whole = {r.doc_id for r in got if first[r.doc_id] in by[r.doc_id][r.start : r.end]}  # a window may add a word or two
+    assert len(whole) >= 54  # of 60: bands find a pair of similarity 0.75 with probability 0.95
+    left = {r.doc_id: r.text for r in P.remove_passages(docs).collect()}
+    assert all((first[i] in left[i]) == (i < 200) for i in whole)
