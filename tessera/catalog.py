@@ -330,9 +330,13 @@ row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similari
 FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) e WHERE q.vec_id < 10) WHERE rank <= {top})"""
 
 
-def near(spark: SparkSession, d: str, keep=None) -> DataFrame:
+#: The query vectors of the contract; the SQL of ``sql_vector`` asks for ten, so queries that have SQL do too.
+EVERY = "vec_id % 20 = 0"
+
+
+def near(spark: SparkSession, d: str, keep=None, asked: str = "vec_id < 10") -> DataFrame:
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("qid"), "embedding")
+    q = e.where(asked).select(F.col("vec_id").alias("qid"), "embedding")
     return retrieve.vector_top((e.where(keep) if keep is not None else e).select(F.col("vec_id").alias("id"), "embedding"), q)
 
 
@@ -355,8 +359,8 @@ CASE WHEN v.id IS NULL THEN 'bm25' WHEN b.id IS NULL THEN 'vector' ELSE 'vector,
 merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, CASE WHEN sources LIKE 'vector%' THEN 0 ELSE 1 END, bm25_score DESC NULLS LAST, id) AS rank FROM m)"""
 
 
-def merged(spark: SparkSession, d: str) -> DataFrame:
-    return retrieve.merge_hits(near(spark, d), bm25(spark, d))
+def merged(spark: SparkSession, d: str, asked: str = "vec_id < 10") -> DataFrame:
+    return retrieve.merge_hits(near(spark, d, asked=asked), bm25(spark, d))
 
 
 @query(f"WITH {_MERGED} SELECT qid, id, {_DIST}, bm25_score, sources, rank FROM merged")
@@ -373,10 +377,10 @@ r AS (SELECT *, round(vn * 44e-2 + bn * 26e-2 + len(list_intersect(qt, tt)) / CA
 ranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rank, id) AS rank FROM r)"""
 
 
-def full_hits(spark: SparkSession, d: str) -> DataFrame:
+def full_hits(spark: SparkSession, d: str, asked: str = "vec_id < 10") -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("kind"), tx.tokenize("text").alias("tokens"), tx.tokenize(F.concat_ws(" ", "source", "lang")).alias("title_tokens"))
     q = questions(spark, d).select("qid", F.col("question").alias("query"), F.array_distinct("tokens").alias("query_tokens"))
-    return merged(spark, d).join(docs, "id").join(q, "qid")
+    return merged(spark, d, asked).join(docs, "id").join(q, "qid")
 
 
 @query(f"WITH {_RANKED} SELECT qid, id, rerank_score, rank FROM ranked")
@@ -386,13 +390,13 @@ def rank_rule(spark, d):
 
 @query()
 def rank_mmr(spark, d):
-    r = retrieve.rule_rerank(full_hits(spark, d)).where(F.col("rank") <= 24).withColumn("token_set", F.array_distinct("tokens"))
+    r = retrieve.rule_rerank(full_hits(spark, d, EVERY)).where(F.col("rank") <= 24).withColumn("token_set", F.array_distinct("tokens"))
     return retrieve.mmr(r)
 
 
 @query()
 def rank_second_stage(spark, d):
-    return retrieve.second_stage(full_hits(spark, d)).select("qid", "id", "rank", "rerank_score", "rerank_reason", "mmr_score")
+    return retrieve.second_stage(full_hits(spark, d, EVERY)).select("qid", "id", "rank", "rerank_score", "rerank_reason", "mmr_score")
 
 
 _HITS = "SELECT l_orderkey % 40 AS qid, 'l' || l_orderkey || '-' || l_linenumber AS id, 3 AS level, 'o' || l_orderkey AS parent_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_orderkey <= 400"

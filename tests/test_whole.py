@@ -1,0 +1,31 @@
+"""Queries without SQL ask the whole question; the SQL of their narrower neighbours, widened here, says what that is."""
+
+import duckdb
+
+from tessera import catalog as C
+
+SF = "/root/testdata/sf0.01"
+
+
+def duck(sql):
+    c = duckdb.connect()
+    for t in ("embeddings", "documents", "benchmark", "lineitem", "orders"):
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    return c.execute(sql).fetchall()
+
+
+def test_fusion_has_every_question_with_a_vector(spark):
+    sql = C.ORACLE_SQL["ret_merge"].replace("q.vec_id < 10", "q.vec_id % 20 = 0")
+    assert sql != C.ORACLE_SQL["ret_merge"]
+    got = C.merged(spark, SF, C.EVERY).select("qid", "id", "rank").collect()
+    want = duck(f"SELECT qid, id, rank FROM ({sql})")
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert {q for q, _, _ in want} >= {v for (v,) in duck("SELECT vec_id FROM embeddings WHERE vec_id % 20 = 0")}
+
+
+def test_second_stage_asks_every_question_with_a_vector(spark):
+    asked = {q for (q,) in duck("SELECT item_id FROM benchmark WHERE item_id % 20 = 0")}
+    rows = C.rank_second_stage(spark, SF).select("qid", "id").collect()
+    near = {(r.qid, r.id) for r in C.near(spark, SF, asked=C.EVERY).select("qid", "id").collect()}
+    assert asked <= {q for q, i in map(tuple, rows) if (q, i) in near}
+    assert max(asked) >= 20 > 10
