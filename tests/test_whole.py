@@ -29,3 +29,13 @@ def test_second_stage_asks_every_question_with_a_vector(spark):
     near = {(r.qid, r.id) for r in C.near(spark, SF, asked=C.EVERY).select("qid", "id").collect()}
     assert asked <= {q for q, i in map(tuple, rows) if (q, i) in near}
     assert max(asked) >= 20 > 10
+
+
+def test_every_leaf_is_merged(spark):
+    sql = C.ORACLE_SQL["ret_automerge_step"].replace(" WHERE l_orderkey <= 400", "").replace("l_orderkey % 40", "l_orderkey // 100")
+    hits, parents = C.leaf_hits(spark, SF, every=True)
+    assert hits.count() == duck("SELECT count(*) FROM lineitem")[0][0]
+    got = C.retrieve.merge_to_parents(hits, parents, 2).select("qid", "id", "level", "score", "rank", "merged_children").collect()
+    assert sorted(map(tuple, got)) == sorted(duck(sql))
+    asked = {r.qid for r in C.ret_automerge(spark, SF).collect()}
+    assert asked == {q for (q,) in duck("SELECT DISTINCT l_orderkey // 100 FROM lineitem")}
