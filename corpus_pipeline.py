@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's docs; all but the last return the columns of ``documents``. A stage judges only what its predecessors kept.
 
-Defined results: documents without a letter go in the first stage; rows with a null id pass the near-duplicate and substring
+Defined results: documents without a letter go in the first stage, and all do if it has no row to learn from; rows with a null id pass the near-duplicate and substring
 stages untouched; repeated rows (equal id and text) leave one; empty tables give empty tables.
 """
 
@@ -17,7 +17,11 @@ from tessera.llm.store import materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; learnt from the documents at hand that are not held out."""
+    """Documents in which a language is recognised; learnt from the documents at hand that are not held out.
+
+    Only ``und`` is rejected, which a fitted model gives to texts without a letter: its choice of language and its score decide
+    nothing here. Where no row can be learnt from there is no model, and every document goes.
+    """
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
     judged = langid.identify(docs, langid.train(docs, learn=~held))
     return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
