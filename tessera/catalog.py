@@ -113,7 +113,7 @@ def fn_chroma_id(spark, d):
 # ---------------------------------------------------------------- cleaning
 
 #: Documents with lines for every rule before their own.
-_NOISE = ["---", "Page 3", "第 4 页", "| | |", "#Head", "+ item", "1.x", "····", "a  b\t\tc", "|a|b|", "|:--|---:|", "* * *", "- 12 -"]
+_NOISE = ["---", "Page 3", "第 4 页", "| | |", "#Head", "+ item", "1.x", "····", "a  b\t\tc", "|a|b|", "|:--|---:|", "* * *", "- 12 -", "---", "dup", "dup", "", "", "#目录", "1 a 2", "\u200b ## TOC", "\u00a0x", "  # Body", "## "]
 _SQL_NOISY = "'" + "' || chr(10) || '".join(_NOISE) + "' || chr(13) || chr(10) || '<b>bold</b><!-- gone -->' || chr(10) || text"
 
 
@@ -129,7 +129,21 @@ def _lines_sql(keep: str | None = None, each: str = "s") -> str:
 
 
 _PY_STRIP = r"regexp_replace(s, '^[\s\p{Z}\x0b\x1c-\x1f\x85]+|[\s\p{Z}\x0b\x1c-\x1f\x85]+$', '', 'g')"
+_SQL_LINES = "FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM n)"
+#: Rules that look at other lines: queries over table n (doc_id, t) that give (doc_id, out).
+_CLEAN_LINES_SQL = {
+    "clean_toc": rf"""l AS (SELECT doc_id, s, i, {_PY_STRIP} AS u {_SQL_LINES}), m AS (SELECT *, CASE WHEN regexp_full_match(u, '(?i)#{{1,6}}\s*(目录|Table of Contents|TOC)\s*') THEN 1 WHEN regexp_matches(u, '^#{{1,6}}\s+') THEN 0 END AS mark FROM l),
+k AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i), 0) AS inside FROM m) SELECT doc_id, coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (inside = 0), '') AS out FROM k GROUP BY doc_id""",
+    "clean_line_pass": rf"""l AS (SELECT doc_id, i, {_PY_STRIP} AS u {_SQL_LINES}), k AS (SELECT doc_id, i, regexp_replace(regexp_replace(regexp_replace(u, '^(#{{1,6}})([^\s#])', '\1 \2'), '^\s*[*+]\s+', '- '), '^([0-9]+)\.([^\s])', '\1. \2') AS v
+FROM l WHERE NOT (regexp_full_match(u, '[·•\-\s]{{3,}}') OR regexp_full_match(u, '[.。·•]{{4,}}'))), q AS (SELECT doc_id, i, CASE WHEN v LIKE '|%' OR v LIKE ' %' THEN v ELSE regexp_replace(v, '[ \t]{{2,}}', ' ', 'g') END AS v FROM k),
+d AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM q) SELECT doc_id, coalesce(string_agg(v, chr(10) ORDER BY i) FILTER (before IS NULL OR v <> before), '') AS out FROM d GROUP BY doc_id""",
+}
+_SEPARATOR_CELLS = "list_transform(string_split(trim(trim(s), '|'), '|'), lambda c: CASE WHEN trim(c) LIKE ':%' AND trim(c) LIKE '%:' THEN ':---:' WHEN trim(c) LIKE '%:' THEN '---:' WHEN trim(c) LIKE ':%' THEN ':---' ELSE '---' END)"
 _CLEAN_SQL = {
+    "clean_invisible": r"regexp_replace(regexp_replace(t, '[\x{200b}\x{200c}\x{200d}\x{feff}\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '[\x{00a0}\x{3000}]', ' ', 'g')",
+    "clean_front_matter": r"regexp_replace(t, '(?s)\A\s*---\n.*?\n---\s*\n', '')",
+    "clean_rules": r"regexp_replace(t, '(?m)^\s*(?:-\s*(?:-\s*){2,}|\*\s*(?:\*\s*){2,}|_\s*(?:_\s*){2,})$', '', 'g')",
+    "clean_table_sep": _lines_sql(None, rf"CASE WHEN regexp_full_match(s, '\|?[\s:.\-]+\|[\s|:.\-]+') THEN '| ' || array_to_string({_SEPARATOR_CELLS}, ' | ') || ' |' ELSE s END"),
     "clean_newlines": r"regexp_replace(t, '\r\n?', chr(10), 'g')",
     "clean_html_comment": r"regexp_replace(t, '(?s)<!--.*?-->', '', 'g')",
     "clean_html_tags": r"regexp_replace(t, '(?i)</?(div|span|font|center|p|br|strong|em|b|i|u|section|article)[^>]*>', '', 'g')",
@@ -148,7 +162,11 @@ def _clean_query(rule):
 
 
 for _name, _rule in clean.RULES.items():
-    _sql = f"SELECT doc_id, md5({_CLEAN_SQL[_name]}) AS digest FROM (SELECT doc_id, {_SQL_NOISY} AS t FROM documents)" if _name in _CLEAN_SQL else None
+    _sql = None
+    if _name in _CLEAN_SQL:
+        _sql = f"SELECT doc_id, md5({_CLEAN_SQL[_name]}) AS digest FROM (SELECT doc_id, {_SQL_NOISY} AS t FROM documents)"
+    elif _name in _CLEAN_LINES_SQL:
+        _sql = f"WITH n AS (SELECT doc_id, {_SQL_NOISY} AS t FROM documents), r AS (WITH {_CLEAN_LINES_SQL[_name]}) SELECT doc_id, md5(out) AS digest FROM r"
     query(_sql, _name)(_clean_query(_rule))
 
 

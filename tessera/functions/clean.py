@@ -1,7 +1,7 @@
 r"""Markdown cleaning as Column rules, one for each kind of noise, and their fixed order.
 
-Patterns are Java's; ``(?U)`` gives Unicode classes, ``(?d)`` lets only \n end a line. Rules that look at neighbouring lines
-are folds over the array of lines, so a document is one row from beginning to end.
+Patterns are Java's; ``(?U)`` gives Unicode classes, ``(?d)`` lets only \n end a line. A document is one row from beginning to
+end; rules that look at neighbouring lines compare places of its array of lines or cut it into sections, in linear time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,12 @@ TABLE = r"(?is)<table\b.*?</table>"
 #: Headings that open a table of contents, tags that go while their text stays, and page-number lines.
 TOC = r"(?iU)^#{1,6}\s*(目录|Table of Contents|TOC)\s*$"
 TAGS = r"(?i)</?(div|span|font|center|p|br|strong|em|b|i|u|section|article)[^>]*>"
-#: Fixed value: rows of a table that hold only rules.
+#: Front matter, lines that are drawn rules, list items, and rows of a table that hold only rules.
+FRONT_MATTER = r"(?sU)\A\s*---\n.*?\n---\s*\n"
+RULE_LINES = r"(?mdU)^\s*([-*_])\s*(\1\s*){2,}$"
+BULLET, NUMBER = r"(?U)^\s*[*+]\s+", r"(?U)^(\d+)\.([^\s])"
+#: Characters that make a line noise, alone (four or more) or with white space (three or more).
+DOTS, BARS = ".。·•", "·•-"
 SEPARATOR = r"(?U)\A\|?[\s:.\-]+\|[\s|:.\-]+\z"
 PAGE_NUMBERS = (r"(?U)^[-–—]?\s*\d{1,4}\s*[-–—]?$", r"(?iU)^(第\s*)?\d{1,4}\s*(页|/\s*\d{1,4}|of\s+\d{1,4})$", r"(?iU)^Page\s+\d{1,4}(\s*/\s*\d{1,4})?$")
 
@@ -41,7 +46,7 @@ def invisible(x: Column | str) -> Column:
 
 
 def front_matter(x: Column | str) -> Column:
-    return F.regexp_replace(_c(x), r"(?sU)\A\s*---\n.*?\n---\s*\n", "")
+    return F.regexp_replace(_c(x), FRONT_MATTER, "")
 
 
 def html_comments(x: Column | str) -> Column:
@@ -54,7 +59,7 @@ def html_tags(x: Column | str) -> Column:
 
 def rules(x: Column | str) -> Column:
     """Lines of three or more equal dashes, stars or underscores; white space of the pattern may cross lines."""
-    return F.regexp_replace(_c(x), r"(?mdU)^\s*([-*_])\s*(\1\s*){2,}$", "")
+    return F.regexp_replace(_c(x), RULE_LINES, "")
 
 
 def page_numbers(x: Column | str) -> Column:
@@ -65,12 +70,21 @@ def is_page_number(s: Column) -> Column:
     return s.rlike(PAGE_NUMBERS[0]) | s.rlike(PAGE_NUMBERS[1]) | s.rlike(PAGE_NUMBERS[2])
 
 
+def _dense(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?U)\s+", "")
+
+
+def _only(s: Column, characters: str) -> Column:
+    return F.translate(s, characters, "") == ""
+
+
 def empty_rows(x: Column | str) -> Column:
-    return unlines(F.filter(lines(x), lambda s: ~s.rlike(r"(?U)^\s*\|(\s*\|)+\s*$")))
+    """Without rows of a table that have two bars or more and nothing between them."""
+    return unlines(F.filter(lines(x), lambda s: ~(s.contains("|") & (F.length(_dense(s)) >= 2) & _only(_dense(s), "|"))))
 
 
 def is_noise(s: Column) -> Column:
-    return s.rlike(r"(?U)\A[·•\-\s]{3,}\z") | s.rlike(r"\A[.。·•]{4,}\z")
+    return ((F.length(s) >= 3) & _only(_dense(s), BARS)) | ((F.length(s) >= 4) & _only(s, DOTS))
 
 
 def noise(x: Column | str) -> Column:
@@ -78,15 +92,20 @@ def noise(x: Column | str) -> Column:
 
 
 def heading(s: Column | str) -> Column:
-    return F.regexp_replace(_c(s), r"(?U)^(#{1,6})([^\s#])", "$1 $2")
+    """One to six hashes right before a title get a blank after them."""
+    s = _c(s)
+    title = F.ltrim(s, F.lit("#"))
+    hashes = F.length(s) - F.length(title)
+    tight = hashes.between(1, 6) & (title != "") & ~title.rlike(r"(?U)\A\s")
+    return F.when(tight, F.concat(F.substring(s, F.lit(1), hashes), F.lit(" "), title)).otherwise(s)
 
 
 def unordered(s: Column | str) -> Column:
-    return F.regexp_replace(_c(s), r"(?U)^\s*[*+]\s+", "- ")
+    return F.regexp_replace(_c(s), BULLET, "- ")
 
 
 def ordered(s: Column | str) -> Column:
-    return F.regexp_replace(_c(s), r"(?U)^(\d+)\.([^\s])", "$1. $2")
+    return F.regexp_replace(_c(s), NUMBER, "$1. $2")
 
 
 def squeeze(s: Column | str) -> Column:
@@ -114,34 +133,27 @@ def table_separators(x: Column | str) -> Column:
     return unlines(F.transform(lines(x), table_separator))
 
 
+#: Before a heading, or a contents heading without a blank after its hashes.
+_SECTION = r"(?mdiU)^(?=[\s&&[^\n]]*#{1,6}(?:[\s&&[^\n]]+[^\s]|(?:目录|Table of Contents|TOC)[\s&&[^\n]]*$))"
+
+
 def toc(x: Column | str) -> Column:
-    """Everything from a contents heading up to the next heading goes."""
+    """Everything from a contents heading up to the next heading goes: sections are cut at headings, and those of contents dropped."""
+    sections = F.split(F.concat(_c(x), F.lit("\n")), _SECTION, -1)
+    kept = F.filter(sections, lambda s: ~strip(F.substring_index(s, "\n", 1)).rlike(TOC))
+    return F.regexp_replace(F.array_join(kept, ""), r"\n\z", "")
 
-    def step(state: Column, s: Column) -> Column:
-        opens = strip(s).rlike(TOC)
-        inside = opens | (state["inside"] & ~strip(s).rlike(r"(?U)^#{1,6}\s+"))
-        return F.struct(inside.alias("inside"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], F.array(s))).alias("out"))
 
-    start = F.struct(F.lit(False).alias("inside"), F.array().cast("array<string>").alias("out"))
-    return unlines(F.aggregate(lines(x), start, step, lambda r: r["out"]))
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(x), body), 1)
 
 
 def line_pass(x: Column | str, tidy: Callable[[Column], Column] | None = None) -> Column:
-    """Each line stripped and tidied; noise, a second blank in a row and a line equal to the last one kept go."""
+    """Each line stripped and tidied; noise goes, and then each line, blank or not, that equals the one before it."""
     tidy = tidy or (lambda s: squeeze(ordered(unordered(heading(s)))))
-
-    def step(state: Column, raw: Column) -> Column:
-        s = tidy(strip(raw))
-        blank = strip(raw) == ""
-        drop = F.when(blank, state["blank"]).otherwise(is_noise(strip(raw)) | (state["last"].isNotNull() & (s == state["last"])))
-        kept = F.when(blank, F.lit("")).otherwise(s)
-        return F.struct(
-            F.when(drop, state["blank"]).otherwise(blank).alias("blank"), F.when(drop, state["last"]).otherwise(kept).alias("last"),
-            F.when(drop, state["out"]).otherwise(F.concat(state["out"], F.array(kept))).alias("out"),
-        )
-
-    start = F.struct(F.lit(False).alias("blank"), F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out"))
-    return unlines(F.aggregate(lines(x), start, step, lambda r: r["out"]))
+    plain = F.transform(F.filter(F.transform(lines(x), strip), lambda s: ~is_noise(s)), tidy)
+    return unlines(_let(plain, lambda a: F.filter(a, lambda s, i: (i == 0) | (s != F.coalesce(F.get(a, i - 1), F.lit(""))))))
 
 
 def html_table(x: Column) -> Column:

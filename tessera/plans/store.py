@@ -8,19 +8,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: dict[str, str] = {}
 
-def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
-    """A function (frame, label) -> the same rows read from a table that it writes.
 
-    The folder is ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and the warehouse on a cluster.
+def root(spark: SparkSession) -> str:
+    """The folder of this application's tables, which goes when the driver's JVM ends (``release`` empties it before).
+
+    It lies in ``spark.checkpoint.dir``; where that is unset, in a temporary folder in local mode and in the warehouse on a cluster.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_kept"
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            local = spark.sparkContext.master.split("[")[0] == "local"
+            base = "file://" + tempfile.mkdtemp(prefix="tessera-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        _ROOTS[app] = f"{base.rstrip('/')}/tessera-{app}"
+        path, fs = _path(spark, _ROOTS[app])
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return _ROOTS[app]
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def release(spark: SparkSession) -> None:
+    """Removes every table written so far; frames that read them are of no use any more."""
+    path, fs = _path(spark, root(spark))
+    fs.delete(path, True)
+    fs.mkdirs(path)
+
+
+def keeper(spark: SparkSession) -> Callable[[DataFrame, str], DataFrame]:
+    """A function (frame, label) -> the same rows read from a table that it writes."""
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        path = f"{root(spark)}/{label}-{uuid.uuid4().hex}"
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
