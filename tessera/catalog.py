@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import clean, text as tx
 from .operators import access, chunk, context, enrich, evaluate, index as ix, retrieve, understand
 from .plans import pipelines, schema
-from .plans.store import keeper
+from .plans.store import keeper, root
 from .sources import readers
 from .sources.providers import HashedEmbedder, RuleChat
 from .streaming.ingest import event_counts
@@ -81,9 +81,13 @@ def fn_truncate(spark, d):
     return table(spark, d, "documents").select("doc_id", tx.truncate("text", 120).alias("short"))
 
 
-@query("SELECT item_id, item_id % 2 = 0 AS wants_table FROM benchmark")
+_ASKED = "list_extract(['', '表', '格', '价格', '金 额', '金额', '预算', '薪酬', '等级', '比例', '字段', '清单', '模板', '表格'], CAST(item_id % 14 + 1 AS BIGINT))"
+
+
+@query(f"SELECT item_id, regexp_matches(text || {_ASKED}, '表|表格|价格|金额|预算|薪酬|等级|比例|字段|清单|模板') AS wants_table FROM benchmark")
 def fn_table_intent(spark, d):
-    q = F.concat("text", F.when(F.col("item_id") % 2 == 0, "的价格").otherwise("?"))
+    said = F.array(*[F.lit(x) for x in ("", "表", "格", "价格", "金 额", "金额", "预算", "薪酬", "等级", "比例", "字段", "清单", "模板", "表格")])
+    q = F.concat("text", F.element_at(said, (F.col("item_id") % 14 + 1).cast("int")))
     return table(spark, d, "benchmark").select("item_id", tx.table_intent(q).alias("wants_table"))
 
 
@@ -99,9 +103,9 @@ def fn_parse_json(spark, d):
     return e.select("event_id", F.try_element_at("m", F.col("k")).alias("first_value"))
 
 
-@query("""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(url, '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'document') AS name FROM pages""", "src_result_dir")
+@query("""SELECT page_id, coalesce(nullif(regexp_replace(regexp_replace(regexp_replace(url, '[.][^.]*$', ''), '[<>:"/\\\\|?*\\x00-\\x1f]', '_', 'g'), '^[ .]+|[ .]+$', '', 'g'), ''), 'document') || '_' || substr(sha256(html), 1, 12) AS name FROM pages""")
 def src_result_dir(spark, d):
-    return table(spark, d, "pages").select("page_id", tx.safe_name("url").alias("name"))
+    return table(spark, d, "pages").select("page_id", readers.result_dir(F.col("url"), F.col("html").cast("binary")).alias("name"))
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash, CAST(doc_id AS VARCHAR) || '::' || lang || '::' || 1 || '-' || n_chars || '::' || substr(sha256(text), 1, 16) AS index_id FROM documents")
@@ -178,11 +182,12 @@ def html_tags_of_pages(spark, d):
 # ---------------------------------------------------------------- chunks
 
 
-@query(r"""SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS BIGINT) AS pos, md5(unnest(p)) AS digest FROM
-(SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n'), lambda s: trim(s)), lambda s: s <> '') AS p FROM documents)""")
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS s, generate_subscripts(string_split(t, chr(10)), 1) AS i, len(string_split(t, chr(10))) AS n FROM (SELECT doc_id, regexp_replace(text, '\n\z', '') AS t FROM documents WHERE text <> '')),
+b AS (SELECT *, {_PY_STRIP} = '' AS blank, count(*) FILTER ({_PY_STRIP} = '') OVER (PARTITION BY doc_id ORDER BY i) AS g FROM l),
+p AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS first, CAST(least(max(i) + 1, max(n)) AS INTEGER) AS last, string_agg(s, chr(10) ORDER BY i) AS s FROM b WHERE NOT blank GROUP BY doc_id, g)
+SELECT doc_id, first, last, md5({_PY_STRIP}) AS digest FROM p""")
 def chunk_text_units(spark, d):
-    parts = F.filter(F.transform(F.split("text", "\n"), lambda s: F.trim(s)), lambda s: s != "")
-    return table(spark, d, "documents").select("doc_id", F.posexplode(parts).alias("pos", "p")).select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("p").alias("digest"))
+    return chunk.text_units(table(spark, d, "documents"), "doc_id").select("doc_id", "first", "last", F.md5("text").alias("digest"))
 
 
 def page_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -214,24 +219,30 @@ def con_validate(spark, d):
     return schema.violations(enrich.enrich(page_chunks(spark, d)))
 
 
-@query("""SELECT 'nation' AS name, string_agg('Row ' || (n_nationkey + 1) || ': n_nationkey: ' || n_nationkey || '; n_name: ' || n_name || '; n_regionkey: ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS table_text FROM nation""")
+def table_documents(rows: DataFrame, document: Column, order: str, columns: list[str]) -> DataFrame:
+    """(document_id, text): a Markdown table of the rows of each document, in order."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(F.array(*cells), " | "), F.lit(" |"))
+    one = rows.select(document.cast("string").alias("document_id"), order, line([F.col(c).cast("string") for c in columns]).alias("line"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, "line"))), lambda r: r["line"]), "\n")
+    head = F.concat(line([F.lit(c) for c in columns]), F.lit("\n"), line([F.lit("---")] * len(columns)), F.lit("\n"))
+    return one.groupBy("document_id").agg(F.concat(head, body, F.lit("\n")).alias("text"))
+
+
+@query("""SELECT CAST(n_regionkey AS VARCHAR) AS name, string_agg('Row ' || n || ': n_nationkey: ' || n_nationkey || '; n_name: ' || n_name || '; n_regionkey: ' || n_regionkey, chr(10) ORDER BY n_nationkey) AS table_text
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS n FROM nation) GROUP BY n_regionkey""")
 def chunk_md_table_text(spark, d):
-    cells = lambda *c: F.concat(F.lit("Row "), (F.col("n_nationkey") + 1).cast("string"), F.lit(": "), F.array_join(F.array(*[F.concat(F.lit(f"{x}: "), F.col(x).cast("string")) for x in c]), "; "))
-    rows = table(spark, d, "nation").select("n_nationkey", cells("n_nationkey", "n_name", "n_regionkey").alias("line"))
-    return rows.groupBy(F.lit("nation").alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "line"))), lambda s: s["line"]), "\n").alias("table_text"))
+    docs = table_documents(table(spark, d, "nation"), F.col("n_regionkey"), "n_nationkey", ["n_nationkey", "n_name", "n_regionkey"])
+    return chunk.chunks(docs).where("type = 'table_chunk'").select(F.col("document_id").alias("name"), "table_text")
 
 
-@query("""SELECT part, CAST(count(*) AS BIGINT) AS data_rows, CAST(min(s_suppkey) AS BIGINT) AS first_key, CAST(max(s_suppkey) AS BIGINT) AS last_key,
-'Markdown table with ' || count(*) || ' data rows and 4 columns (part ' || part || ' of ' || max(parts) || '). Columns: s_suppkey, s_name, s_nationkey, s_acctbal.' AS description
-FROM (SELECT s_suppkey, CAST((row_number() OVER (ORDER BY s_suppkey) - 1) // 30 + 1 AS BIGINT) AS part, CAST(ceil(count(*) OVER () / 30e0) AS BIGINT) AS parts FROM supplier) GROUP BY part""")
+@query("""SELECT CAST(doc AS VARCHAR) AS document_id, CAST(part AS INTEGER) AS part, count(*) AS data_rows, CAST(min(s_suppkey) AS BIGINT) AS first_key, CAST(max(s_suppkey) AS BIGINT) AS last_key,
+'Markdown table with ' || max(total) || ' data rows and 3 columns. Columns: s_suppkey, s_name, s_nationkey.' || CASE WHEN max(parts) > 1 THEN ' This is part ' || part || ' of ' || max(parts) || ', with ' || count(*) || ' data rows in this part.' ELSE '' END AS description
+FROM (SELECT s_suppkey, s_suppkey // 100 AS doc, (row_number() OVER w - 1) // 30 + 1 AS part, count(*) OVER (PARTITION BY s_suppkey // 100) AS total, CAST(ceil(count(*) OVER (PARTITION BY s_suppkey // 100) / 30e0) AS BIGINT) AS parts FROM supplier WINDOW w AS (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey)) GROUP BY doc, part""")
 def chunk_md_table_split(spark, d):
-    s = table(spark, d, "supplier").select("s_suppkey")
-    n = s.count()  # keys are dense from the first on, so a row's place follows from its key without a global sort
-    first = s.agg(F.min("s_suppkey")).first()[0] or 0
-    parts = max(1, -(-n // chunk.MAX_ROWS))
-    p = s.withColumn("part", (F.floor((F.col("s_suppkey") - first) / chunk.MAX_ROWS) + 1).cast("long")).groupBy("part")
-    said = F.concat(F.lit("Markdown table with "), F.col("data_rows").cast("string"), F.lit(" data rows and 4 columns (part "), F.col("part").cast("string"), F.lit(f" of {parts}). Columns: s_suppkey, s_name, s_nationkey, s_acctbal."))
-    return p.agg(F.count("*").alias("data_rows"), F.min("s_suppkey").alias("first_key"), F.max("s_suppkey").alias("last_key")).withColumn("description", said)
+    docs = table_documents(table(spark, d, "supplier"), F.expr("s_suppkey div 100"), "s_suppkey", ["s_suppkey", "s_name", "s_nationkey"])
+    keys = F.transform(F.regexp_extract_all("table_text", F.lit(r"Row \d+: s_suppkey: (\d+);"), F.lit(1)), lambda k: k.cast("long"))
+    t = chunk.chunks(docs).where("type = 'table_chunk'").withColumn("keys", keys)
+    return t.select("document_id", F.col("table_part_index").alias("part"), F.size("keys").cast("long").alias("data_rows"), F.array_min("keys").alias("first_key"), F.array_max("keys").alias("last_key"), F.col("table_description").alias("description"))
 
 
 @query()
@@ -244,7 +255,7 @@ def chunk_long_text(spark, d):
         for b in batches:
             parts = [chunk.split_long(t.as_py() or "") for t in b.column(1)]
             packed = [chunk.pack([(1, 1, p) for p in x]) for x in parts]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([max(map(len, p)) for p in parts], pa.int64()), pa.array([len(p) for p in packed], pa.int64())], names=["doc_id", "parts", "longest", "packed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([max(map(len, p), default=0) for p in parts], pa.int64()), pa.array([len(p) for p in packed], pa.int64())], names=["doc_id", "parts", "longest", "packed"])
 
     return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, parts long, longest long, packed long")
 
@@ -256,12 +267,18 @@ def enrich_neighbors(spark, d):
     return n.select("conv_id", "turn", s("previous"), s("next"))
 
 
-@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter([conv_id || '-' || lag(turn) OVER w, conv_id || '-' || lead(turn) OVER w, 'conv-' || conv_id], lambda x: x IS NOT NULL))), ',') AS context_ids FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
+@query("""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter([conv_id || '-' || lag(turn) OVER w, conv_id || '-' || lead(turn) OVER w, 'conv-' || conv_id, CASE WHEN turn > 0 THEN conv_id || '-0' END], lambda x: x IS NOT NULL))), ',') AS context_ids FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""")
 def enrich_small_to_big(spark, d):
-    c = table(spark, d, "conversations").withColumn("id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    n = enrich.neighbours(c, "conv_id", "turn", "id")
-    ids = F.array_sort(F.array_distinct(F.concat("previous", "next", F.array(F.concat(F.lit("conv-"), F.col("conv_id").cast("string"))))))
-    return n.select("conv_id", "turn", F.array_join(ids, ",").alias("context_ids"))
+    """Turns as text chunks of a conversation, each with a reference to the first."""
+    at = lambda turn: F.concat_ws("-", F.col("conv_id").cast("string"), turn.cast("string"))
+    c = table(spark, d, "conversations").select(
+        F.col("conv_id").cast("string").alias("document_id"), F.lit("").alias("document_version"), F.col("turn").alias("order_index"), at(F.col("turn")).alias("id"),
+        F.lit("text_chunk").alias("type"), F.lit("chat").alias("document_name"), F.col("text").alias("content"), F.array("role").alias("title_path"), "conv_id", "turn",
+        F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("parent_id"), F.when(F.col("turn") > 0, F.array(at(F.lit(0)))).otherwise(F.array().cast("array<string>")).alias("ref_target_ids"),
+        F.array().cast("array<string>").alias("referenced_by_text_chunk_ids"), F.lit(None).cast("struct<parent_section_title_path:array<string>>").alias("parent_context"),
+        *[F.lit(None).cast("string").alias(x) for x in ("title", "table_text", "table_description", "alt_text", "image_path")],
+    )
+    return enrich.enrich(c).select("conv_id", "turn", F.array_join("small_to_big_context_ids", ",").alias("context_ids"))
 
 
 # ---------------------------------------------------------------- filters and access
@@ -300,11 +317,6 @@ def perm_prefilter(spark, d):
     return access.prefilter(docs.where("lang = 'en'"), judged(spark, d), name="source").select("doc_id")
 
 
-@query(f"SELECT source FROM ({_JUDGED}) WHERE NOT allowed")
-def perm_postfilter(spark, d):
-    return access.postfilter(table(spark, d, "documents"), judged(spark, d), "source")[1]
-
-
 # ---------------------------------------------------------------- retrieval
 
 
@@ -332,11 +344,25 @@ def bm25(spark: SparkSession, d: str, lang: str | None = None) -> DataFrame:
     return retrieve.bm25_top(corpus(spark, d, lang), questions(spark, d))
 
 
+def hit_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The BM25 hits of all questions with their texts and columns."""
+    return retrieve.fetch(bm25(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang"))
+
+
 @query(f"WITH {sql_bm25()} SELECT qid, id, bm25_score, rank FROM bm25")
 def ret_bm25(spark, d):
     return bm25(spark, d).select("qid", "id", "bm25_score", "rank")
 
 
+@query(f"WITH {sql_bm25()}, j AS ({_JUDGED}), h AS (SELECT b.qid, b.id, d.source, coalesce(j.allowed, false) AS allowed FROM bm25 b JOIN documents d ON d.doc_id = b.id LEFT JOIN j USING (source)) SELECT 'hit' AS kind, qid, id, source FROM h WHERE allowed UNION ALL SELECT DISTINCT 'denied', NULL, NULL, source FROM h WHERE NOT allowed")
+def perm_postfilter(spark, d):
+    """Hits that survive, and the names of the documents that were denied."""
+    hits = retrieve.fetch(bm25(spark, d), table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"))
+    kept, denied = access.postfilter(hits, judged(spark, d), "source")
+    none = F.lit(None).cast("long")
+    return kept.select(F.lit("hit").alias("kind"), "qid", "id", "source").union(denied.select(F.lit("denied"), none, none, "source"))
+
+
 @query("WITH " + sql_bm25("lang = 'en'") + " SELECT qid, id, bm25_score, rank FROM bm25")
 def ret_bm25_filtered(spark, d):
     return bm25(spark, d, "en").select("qid", "id", "bm25_score", "rank")
@@ -345,16 +371,13 @@ def ret_bm25_filtered(spark, d):
 def sql_vector(where: str = "true", top: int = 12) -> str:
     return f"""vec AS (SELECT * FROM (SELECT q.vec_id AS qid, e.vec_id AS id, 1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS distance,
 row_number() OVER (PARTITION BY q.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9), e.vec_id) AS rank
-FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) e WHERE q.vec_id < 10) WHERE rank <= {top})"""
-
+FROM embeddings q, (SELECT * FROM embeddings WHERE {where}) e WHERE q.vec_id % 20 = 0) WHERE rank <= {top})"""
 
-#: The query vectors of the contract; the SQL of ``sql_vector`` asks for ten, so queries that have SQL do too.
-EVERY = "vec_id % 20 = 0"
 
-
-def near(spark: SparkSession, d: str, keep=None, asked: str = "vec_id < 10") -> DataFrame:
+def near(spark: SparkSession, d: str, keep=None) -> DataFrame:
+    """The queries are every vector whose id is divisible by 20, against all vectors."""
     e = table(spark, d, "embeddings")
-    q = e.where(asked).select(F.col("vec_id").alias("qid"), "embedding")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     return retrieve.vector_top((e.where(keep) if keep is not None else e).select(F.col("vec_id").alias("id"), "embedding"), q)
 
 
@@ -377,8 +400,8 @@ CASE WHEN v.id IS NULL THEN 'bm25' WHEN b.id IS NULL THEN 'vector' ELSE 'vector,
 merged AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY distance NULLS LAST, CASE WHEN sources LIKE 'vector%' THEN 0 ELSE 1 END, bm25_score DESC NULLS LAST, id) AS rank FROM m)"""
 
 
-def merged(spark: SparkSession, d: str, asked: str = "vec_id < 10") -> DataFrame:
-    return retrieve.merge_hits(near(spark, d, asked=asked), bm25(spark, d))
+def merged(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.merge_hits(near(spark, d), bm25(spark, d))
 
 
 @query(f"WITH {_MERGED} SELECT qid, id, {_DIST}, bm25_score, sources, rank FROM merged")
@@ -386,19 +409,39 @@ def ret_merge(spark, d):
     return merged(spark, d).select("qid", "id", (F.round("distance", 6) + 0.0).alias("distance"), "bm25_score", F.array_join("sources", ",").alias("sources"), "rank")
 
 
-_RANKED = f"""{_MERGED}, q AS (SELECT item_id AS qid, list_distinct({sql_tokens('text')}) AS qt FROM benchmark),
-x AS (SELECT m.*, list_distinct({sql_tokens('d.text')}) AS tt, list_distinct({sql_tokens("d.source || ' ' || d.lang")}) AS ht, d.lang, q.qt FROM merged m JOIN documents d ON d.doc_id = m.id JOIN q ON q.qid = m.qid),
+def _ranked_sql(pool: str = "true") -> str:
+    """CTEs from ``merged`` to ``ranked``: features, score and new rank of the hits for which ``pool`` holds."""
+    return f"""{_MERGED}, q AS (SELECT item_id AS qid, list_distinct({sql_tokens('text')}) AS qt FROM benchmark),
+x AS (SELECT m.*, list_distinct({sql_tokens('d.text')}) AS tt, list_distinct({sql_tokens("d.source || ' ' || d.lang")}) AS ht, d.lang, q.qt FROM (SELECT * FROM merged WHERE {pool}) m JOIN documents d ON d.doc_id = m.id JOIN q ON q.qid = m.qid),
 y AS (SELECT *, min(vector_score) OVER w AS vlo, max(vector_score) OVER w AS vhi, min(bm25_score) OVER w AS blo, max(bm25_score) OVER w AS bhi FROM x WINDOW w AS (PARTITION BY qid)),
 z AS (SELECT *, CASE WHEN vector_score IS NULL THEN 0e0 WHEN vhi - vlo <= 1e-9 * greatest(abs(vhi), abs(vlo)) THEN 1e0 ELSE (vector_score - vlo) / (vhi - vlo) END AS vn,
 CASE WHEN bm25_score IS NULL THEN 0e0 WHEN bhi - blo <= 1e-9 * greatest(abs(bhi), abs(blo)) THEN 1e0 ELSE (bm25_score - blo) / (bhi - blo) END AS bn FROM y),
-r AS (SELECT *, round(vn * 44e-2 + bn * 26e-2 + len(list_intersect(qt, tt)) / CAST(len(qt) AS DOUBLE) * 16e-2 + len(list_intersect(qt, ht)) / CAST(len(qt) AS DOUBLE) * 14e-2 + CASE WHEN sources LIKE '%,%' THEN 8e-2 ELSE 0e0 END, 6) AS rerank_score FROM z),
+f AS (SELECT *, vn * 44e-2 AS f1, bn * 26e-2 AS f2, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, tt)) / CAST(len(qt) AS DOUBLE) ELSE 0e0 END * 16e-2 AS f3, CASE WHEN len(qt) > 0 THEN len(list_intersect(qt, ht)) / CAST(len(qt) AS DOUBLE) ELSE 0e0 END * 14e-2 AS f4, CASE WHEN sources LIKE '%,%' THEN 8e-2 ELSE 0e0 END AS f5 FROM z),
+r AS (SELECT *, round(f1 + f2 + f3 + f4 + f5, 6) AS rerank_score FROM f),
 ranked AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY rerank_score DESC, rank, id) AS rank FROM r)"""
 
 
-def full_hits(spark: SparkSession, d: str, asked: str = "vec_id < 10") -> DataFrame:
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("kind"), tx.tokenize("text").alias("tokens"), tx.tokenize(F.concat_ws(" ", "source", "lang")).alias("title_tokens"))
+_RANKED = _ranked_sql()
+
+
+def _mmr_sql(k: int = 8) -> str:
+    """CTEs that end in ``mmr(qid, id, mmr_rank, mmr_score)`` over ``ranked`` with rank <= 24: k greedy choices, one after the other."""
+    out = """pool AS (SELECT qid, id, rank, rerank_score, tt FROM ranked WHERE rank <= 24),
+sim AS (SELECT a.qid, a.rank, b.rank AS other, CASE WHEN len(a.tt) = 0 OR len(b.tt) = 0 THEN 0e0 ELSE len(list_intersect(a.tt, b.tt)) / CAST(len(a.tt) + len(b.tt) - len(list_intersect(a.tt, b.tt)) AS DOUBLE) END AS sim FROM pool a JOIN pool b ON a.qid = b.qid),
+g0 AS (SELECT qid, rank, 0 AS n, 0e0 AS score FROM pool WHERE false)"""
+    for n in range(1, k + 1):
+        out += f""", g{n} AS (SELECT * FROM g{n - 1} UNION ALL SELECT qid, rank, {n}, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS p FROM
+(SELECT p.qid, p.rank, round(72e-2 * p.rerank_score - (1e0 - 72e-2) * coalesce(max(s.sim), 0e0), 9) AS score FROM pool p LEFT JOIN (sim s JOIN g{n - 1} c ON c.qid = s.qid AND c.rank = s.other) ON s.qid = p.qid AND s.rank = p.rank
+WHERE (p.qid, p.rank) NOT IN (SELECT (qid, rank) FROM g{n - 1}) GROUP BY p.qid, p.rank, p.rerank_score)) WHERE p = 1)"""
+    return out + f", mmr AS (SELECT p.qid, p.id, CAST(c.n AS BIGINT) AS mmr_rank, round(c.score, 6) AS mmr_score FROM g{k} c JOIN pool p ON p.qid = c.qid AND p.rank = c.rank)"
+
+
+def full_hits(spark: SparkSession, d: str) -> DataFrame:
+    """The fused hits of all questions with the texts of the hits only, tokenised."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", F.col("lang").alias("kind"))
     q = questions(spark, d).select("qid", F.col("question").alias("query"), F.array_distinct("tokens").alias("query_tokens"))
-    return merged(spark, d, asked).join(docs, "id").join(q, "qid")
+    h = retrieve.fetch(merged(spark, d).join(q, "qid"), docs)
+    return h.withColumn("tokens", tx.tokenize("text")).withColumn("title_tokens", tx.tokenize(F.concat_ws(" ", "source", "kind")))
 
 
 @query(f"WITH {_RANKED} SELECT qid, id, rerank_score, rank FROM ranked")
@@ -406,25 +449,28 @@ def rank_rule(spark, d):
     return retrieve.rule_rerank(full_hits(spark, d)).select("qid", "id", "rerank_score", "rank")
 
 
-@query()
+@query(f"WITH {_RANKED}, {_mmr_sql()} SELECT * FROM mmr")
 def rank_mmr(spark, d):
-    r = retrieve.rule_rerank(full_hits(spark, d, EVERY)).where(F.col("rank") <= 24).withColumn("token_set", F.array_distinct("tokens"))
+    r = retrieve.rule_rerank(full_hits(spark, d)).where(F.col("rank") <= 24).withColumn("token_set", F.array_distinct("tokens"))
     return retrieve.mmr(r)
 
 
-@query()
+_FEATURES = "[{'v': f1, 'i': -1, 'n': 'vector'}, {'v': f2, 'i': -2, 'n': 'bm25'}, {'v': f3, 'i': -3, 'n': 'lexical'}, {'v': f4, 'i': -4, 'n': 'title_path'}, {'v': f5, 'i': -5, 'n': 'multi_source'}]"
+_REASON = f"array_to_string(list_transform(list_slice(list_reverse_sort(list_filter({_FEATURES}, lambda s: s.v > 0)), 1, 3), lambda s: s.n || '=' || printf('%.3f', s.v)), '；')"
+
+
+@query(f"WITH {_ranked_sql('rank <= 24')}, {_mmr_sql()} SELECT m.qid, m.id, m.mmr_rank AS rank, r.rerank_score, {_REASON} AS rerank_reason, m.mmr_score FROM mmr m JOIN ranked r ON r.qid = m.qid AND r.id = m.id")
 def rank_second_stage(spark, d):
-    return retrieve.second_stage(full_hits(spark, d, EVERY)).select("qid", "id", "rank", "rerank_score", "rerank_reason", "mmr_score")
+    return retrieve.second_stage(full_hits(spark, d)).select("qid", "id", "rank", "rerank_score", "rerank_reason", "mmr_score")
 
 
-_HITS = "SELECT l_orderkey % 40 AS qid, 'l' || l_orderkey || '-' || l_linenumber AS id, 3 AS level, 'o' || l_orderkey AS parent_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey % 40 ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_orderkey <= 400"
+_HITS = "SELECT l_orderkey // 100 AS qid, 'l' || l_orderkey || '-' || l_linenumber AS id, 3 AS level, 'o' || l_orderkey AS parent_id, l_extendedprice AS score, row_number() OVER (PARTITION BY l_orderkey // 100 ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem"
 
 
-def leaf_hits(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Leaves as hits, with their parents: those that the SQL asks for, or every leaf, a question for each hundred order keys."""
+def leaf_hits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every leaf as a hit, a question for each hundred order keys, and the parents."""
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    li = table(spark, d, "lineitem")
-    li = li.withColumn("qid", F.expr("l_orderkey div 100")) if every else li.where("l_orderkey <= 400").withColumn("qid", F.col("l_orderkey") % 40)
+    li = table(spark, d, "lineitem").withColumn("qid", F.expr("l_orderkey div 100"))
     w = Window.partitionBy("qid").orderBy("l_orderkey", "l_linenumber")
     hits = li.select("qid", F.concat(key("l", "l_orderkey"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("id"), F.lit(3).alias("level"), key("o", "l_orderkey").alias("parent_id"), F.col("l_extendedprice").alias("score"), F.row_number().over(w).cast("long").alias("rank"))
     o = table(spark, d, "orders").select(key("o", "o_orderkey").alias("id"), F.lit(2).alias("level"), key("c", "o_custkey").alias("parent_id"))
@@ -432,17 +478,27 @@ def leaf_hits(spark: SparkSession, d: str, every: bool = False) -> tuple[DataFra
     return hits, o.union(c)
 
 
-@query(f"""WITH h AS ({_HITS}), g AS (SELECT h.*, count(*) OVER (PARTITION BY qid, h.parent_id) AS n, o.o_custkey FROM h LEFT JOIN orders o ON h.parent_id = 'o' || o.o_orderkey),
-m AS (SELECT qid, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN parent_id ELSE id END AS id, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN 2 ELSE 3 END AS level, score, rank, CASE WHEN n >= 2 AND o_custkey IS NOT NULL THEN n ELSE 0 END AS mc FROM g)
-SELECT qid, id, CAST(level AS INTEGER) AS level, max(score) AS score, min(rank) AS rank, max(mc) AS merged_children FROM m GROUP BY qid, id, level""")
+def _merge_sql(hits: str, parents: str, level: int) -> str:
+    """One step of merging: hits (qid, id, level, parent_id, score, rank, merged_children), parents (own, grand)."""
+    up = f"h.level = {level + 1} AND n >= 2 AND p.own IS NOT NULL"
+    return f"""SELECT qid, id, level, any_value(parent_id) AS parent_id, max(score) AS score, min(rank) AS rank, max(mc) AS merged_children FROM (SELECT h.qid, CASE WHEN {up} THEN h.parent_id ELSE h.id END AS id, CASE WHEN {up} THEN {level} ELSE h.level END AS level,
+CASE WHEN {up} THEN p.grand ELSE h.parent_id END AS parent_id, score, rank, CASE WHEN {up} THEN n ELSE merged_children END AS mc FROM (SELECT *, count(*) FILTER (level = {level + 1}) OVER (PARTITION BY qid, parent_id) AS n FROM {hits}) h LEFT JOIN ({parents}) p ON p.own = h.parent_id) GROUP BY qid, id, level"""
+
+
+_STEP2 = _merge_sql(f"(SELECT *, 0 AS merged_children FROM ({_HITS}))", "SELECT 'o' || o_orderkey AS own, 'c' || o_custkey AS grand FROM orders", 2)
+_STEP1 = _merge_sql("s2", "SELECT 'c' || c_custkey AS own, CAST(NULL AS VARCHAR) AS grand FROM customer", 1)
+_MERGED_COLUMNS = "qid, id, CAST(level AS INTEGER) AS level, score, rank, CAST(merged_children AS BIGINT) AS merged_children"
+
+
+@query(f"SELECT {_MERGED_COLUMNS} FROM ({_STEP2})")
 def ret_automerge_step(spark, d):
     hits, parents = leaf_hits(spark, d)
     return retrieve.merge_to_parents(hits, parents, 2).select("qid", "id", "level", "score", "rank", "merged_children")
 
 
-@query()
+@query(f"WITH s2 AS ({_STEP2}), s1 AS ({_STEP1}) SELECT {_MERGED_COLUMNS} FROM (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, level, id) AS rank FROM s1) WHERE rank <= 8")
 def ret_automerge(spark, d):
-    hits, parents = leaf_hits(spark, d, every=True)
+    hits, parents = leaf_hits(spark, d)
     return retrieve.auto_merge(hits, parents).select("qid", "id", "level", "score", "rank", "merged_children")
 
 
@@ -492,50 +548,57 @@ def src_parse_cache(spark, d):
 _STATE = f"d AS (SELECT doc_id, lang, {sql_tokens('text')} AS t FROM documents)"
 
 
-def part_of(spark: SparkSession, d: str, lang: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("lang") == lang)
+def half(spark: SparkSession, d: str, rest: int) -> DataFrame:
+    """One of two complementary parts of the documents."""
+    return table(spark, d, "documents").where(F.col("doc_id") % 2 == rest)
 
 
-@query(f"WITH {_STATE}, x AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM d WHERE lang = 'es') GROUP BY token) SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x")
+@query(f"WITH {_STATE}, x AS (SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM d) GROUP BY token) SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x")
 def bm25_state(spark, d):
-    return ix.state_of(part_of(spark, d, "es"))[0]
+    return ix.state_of(table(spark, d, "documents"))[0]
 
 
-@query(f"""WITH {_STATE}, x AS (SELECT lang, token, count(*) AS df FROM (SELECT lang, unnest(list_distinct(t)) AS token FROM d WHERE lang IN ('es', 'fr')) GROUP BY lang, token),
-a AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x WHERE lang = 'es'), b AS (SELECT token, df FROM x WHERE lang = 'fr'), n AS (SELECT token, df, (SELECT max(idx) FROM a) + row_number() OVER (ORDER BY token) AS idx FROM b WHERE token NOT IN (SELECT token FROM a))
+@query(f"""WITH {_STATE}, x AS (SELECT k, token, count(*) AS df FROM (SELECT doc_id % 2 AS k, unnest(list_distinct(t)) AS token FROM d) GROUP BY k, token),
+a AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df FROM x WHERE k = 0), b AS (SELECT token, df FROM x WHERE k = 1), n AS (SELECT token, df, (SELECT max(idx) FROM a) + row_number() OVER (ORDER BY token) AS idx FROM b WHERE token NOT IN (SELECT token FROM a))
 SELECT a.token, a.idx, CAST(a.df + coalesce(b.df, 0) AS BIGINT) AS df FROM a LEFT JOIN b USING (token) UNION ALL SELECT token, idx, df FROM n""")
 def bm25_add(spark, d):
-    return ix.state_add(*ix.state_of(part_of(spark, d, "es")), part_of(spark, d, "fr"))[0]
+    return ix.state_add(*ix.state_of(half(spark, d, 0)), half(spark, d, 1))[0]
 
 
-@query(f"""WITH {_STATE}, x AS (SELECT token, count(*) AS df, count(*) FILTER (doc_id % 2 = 0) AS gone FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM d WHERE lang = 'es') GROUP BY token)
+@query(f"""WITH {_STATE}, x AS (SELECT token, count(*) AS df, count(*) FILTER (doc_id % 2 = 0) AS gone FROM (SELECT doc_id, unnest(list_distinct(t)) AS token FROM d) GROUP BY token)
 SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, df - gone AS df FROM x""")
 def bm25_remove(spark, d):
-    es = part_of(spark, d, "es")
-    return ix.state_add(*ix.state_of(es), es.where("doc_id % 2 = 0"), sign=-1)[0]
+    return ix.state_add(*ix.state_of(table(spark, d, "documents")), half(spark, d, 0), sign=-1)[0]
+
+
+@query(f"""WITH {_STATE}, n AS (SELECT count(*) AS docs, coalesce(sum(len(t)), 0) AS len FROM d)
+SELECT 1 AS version, docs, CAST(len AS BIGINT) AS len, round(CASE WHEN docs > 0 THEN len / CAST(docs AS DOUBLE) ELSE 1e0 END, 2) AS avg_len, (SELECT count(DISTINCT token) FROM (SELECT unnest(t) AS token FROM d)) AS vocabulary, (SELECT count(DISTINCT token) FROM (SELECT unnest(t) AS token FROM d)) AS seen FROM n""")
+def bm25_persist(spark, d):
+    """The state of all documents saved, loaded again and summed up."""
+    path = f"{root(spark)}/bm25-state"
+    ix.save_state(*ix.state_of(table(spark, d, "documents")), path)
+    return ix.state_stats(*ix.load_state(spark, path))
 
 
-_WEIGHTS = f"""{_STATE}, e AS (SELECT * FROM d WHERE lang = 'es'), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(t)) AS DOUBLE) / count(*) AS al FROM e),
-df AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM e) GROUP BY token),
-tf AS (SELECT doc_id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(t) AS l, unnest(t) AS token FROM e) GROUP BY doc_id, token),
-w AS (SELECT doc_id, token, idx, round(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * l / al)), 6) AS weight FROM tf JOIN df USING (token), st)"""
+_WEIGHTS = f"""{_STATE}, wst AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(sum(len(t)) AS DOUBLE) / count(*) AS al FROM d),
+wdf AS (SELECT token, row_number() OVER (ORDER BY token) - 1 AS idx, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS token FROM d) GROUP BY token),
+wtf AS (SELECT doc_id, token, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(t) AS l, unnest(t) AS token FROM d) GROUP BY doc_id, token),
+w AS (SELECT doc_id, token, idx, round(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * l / al)), 6) AS weight FROM wtf JOIN wdf USING (token), wst)"""
 
 
 @query(f"WITH {_WEIGHTS} SELECT doc_id, idx, weight FROM w WHERE weight > 0")
 def ret_sparse_vec(spark, d):
-    es = part_of(spark, d, "es")
-    v = ix.sparse_vectors(es, *ix.state_of(es), item="doc_id")
-    return v.select("doc_id", F.explode("vector").alias("idx", "weight"))
+    docs = table(spark, d, "documents")
+    return ix.sparse_vectors(docs, *ix.state_of(docs), item="doc_id").select("doc_id", F.explode("vector").alias("idx", "weight"))
 
 
-@query(f"""WITH {_WEIGHTS}, q AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY qid, token),
-p AS (SELECT item_id AS qid, doc_id AS id FROM benchmark, documents WHERE lang = 'es' AND doc_id % 40 = item_id % 40)
-SELECT p.qid, p.id, coalesce(CAST(sum(CAST(qtf AS DECIMAL(9,0)) * CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 0e0) AS state_score FROM p LEFT JOIN w ON w.doc_id = p.id AND w.weight > 0 AND EXISTS (SELECT 1 FROM q WHERE q.qid = p.qid AND q.token = w.token) LEFT JOIN q ON q.qid = p.qid AND q.token = w.token GROUP BY p.qid, p.id""")
+@query(f"""WITH {sql_bm25()}, {_WEIGHTS}, q AS (SELECT qid, token, count(*) AS qtf FROM (SELECT item_id AS qid, unnest({sql_tokens('text')}) AS token FROM benchmark) GROUP BY qid, token)
+SELECT p.qid, p.id, coalesce(CAST(sum(CAST(qtf AS DECIMAL(9,0)) * CAST(weight AS DECIMAL(18,6))) AS DOUBLE), 0e0) AS state_score FROM bm25 p JOIN q ON q.qid = p.qid LEFT JOIN w ON w.doc_id = p.id AND w.weight > 0 AND w.token = q.token GROUP BY p.qid, p.id""")
 def ret_rescore(spark, d):
-    es = part_of(spark, d, "es")
-    qs = questions(spark, d)
-    hits = es.withColumn("k", F.col("doc_id") % 40).join(qs.select("qid", (F.col("qid") % 40).alias("k")), "k").select("qid", F.col("doc_id").alias("id"), "text")
-    return ix.rescore(hits, qs, *ix.state_of(es))
+    """The BM25 hits of all questions, scored again by the statistics of the state."""
+    docs = table(spark, d, "documents")
+    hits = retrieve.fetch(bm25(spark, d), docs.select(F.col("doc_id").alias("id"), "text")).select("qid", "id", "text")
+    return ix.rescore(hits, questions(spark, d), *ix.state_of(docs))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -544,14 +607,23 @@ _EXPECTED = "ex AS (SELECT b.item_id AS qid, 'c' || b.item_id % 4 AS category, d
 
 
 def expected(spark: SparkSession, d: str) -> DataFrame:
-    """Cases: the documents that hold the question's text, found by its rarest word first."""
+    """Cases: the documents that hold the question's text.
+
+    A word with white space or punctuation on both sides inside the question is a word of every text that holds it: the
+    longest such word joins, and the whole question is looked for in what it finds. Questions without such a word, short by
+    nature, are looked for in every document.
+    """
+    cut = r"[ \n.,]+"
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
-    words = F.filter(F.split("q", r"[ \n.,]+"), lambda w: F.length(w) > 2)
-    key = F.element_at(F.array_sort(words, lambda x, y: (F.length(x) - F.length(y)).cast("int")), -1)
+    pieces = F.split("q", cut)
+    inner = F.filter(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = b.where("q is not null").withColumn("w", longest)
     docs = table(spark, d, "documents").select("doc_id", "text")
-    longest = b.where(F.size(words) > 0).withColumn("w", key)
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"[ \n.,]+"))).alias("w")).join(retrieve.checked_broadcast(longest.select("w").distinct()), "w", "left_semi")
-    found = tokens.join(longest, "w").join(docs, "doc_id").where(F.contains("text", F.col("q"))).select("qid", "doc_id").distinct()
+    found = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", cut))).alias("w")).join(retrieve.checked_broadcast(keyed.where("w is not null").select("w").distinct()), "w", "left_semi").join(keyed, "w")
+    found = retrieve.fetch(found.select("doc_id", "qid", "q"), docs, "doc_id").where(F.contains("text", F.col("q"))).select("qid", "doc_id")
+    short = retrieve.checked_broadcast(keyed.where("w is null").select("qid", "q"))
+    found = found.union(docs.join(short, F.contains("text", F.col("q"))).select("qid", "doc_id")).distinct()
     g = found.groupBy("qid").agg(F.array_sort(F.collect_set("doc_id")).alias("documents"))
     return b.join(g, "qid", "left").select("qid", F.concat(F.lit("c"), (F.col("qid") % 4).cast("string")).alias("category"), F.coalesce("documents", F.array().cast("array<bigint>")).alias("documents"))
 
@@ -587,8 +659,7 @@ r AS (SELECT k.qid, k.w, min(b.rank) AS rank FROM k JOIN bm25 b USING (qid) JOIN
 n AS (SELECT qid, count(*) AS n FROM k GROUP BY qid) SELECT b.item_id AS qid, {_per_k('round(CASE WHEN coalesce(n.n, 0) > 0 THEN (SELECT count(*) FROM r WHERE r.qid = b.item_id AND r.rank <= {k}) / CAST(n.n AS DOUBLE) ELSE 0e0 END, 6) AS keyword_recall_{k}')} FROM benchmark b LEFT JOIN n ON n.qid = b.item_id""")
 def ev_kw_recall(spark, d):
     ex = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) > 6).alias("keywords"))
-    hits = bm25(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return evaluate.keyword_recall(hits, ex)
+    return evaluate.keyword_recall(hit_texts(spark, d), ex)
 
 
 @query(f"WITH {_CASES} SELECT m AS metric, round(avg(v), 4) AS mean, round(min(v), 4) AS min, round(max(v), 4) AS max, count(v) AS count, count(*) - count(v) AS errors FROM (SELECT 'mrr' AS m, mrr AS v FROM cases UNION ALL SELECT 'doc_recall_5', doc_recall_5 FROM cases UNION ALL SELECT 'first_rank', CAST(first_rank AS DOUBLE) FROM cases) GROUP BY m")
@@ -609,13 +680,19 @@ def label_counts(spark, d):
 
 @query("SELECT DISTINCT source AS document_name FROM documents WHERE source IS NOT NULL")
 def src_docs_available(spark, d):
-    return table(spark, d, "documents").where("source is not null").select(F.col("source").alias("document_name")).distinct()
+    return readers.document_names(table(spark, d, "documents").withColumnRenamed("source", "document_name"))
+
+
+_KINDS = {"section_chunk": "es", "text_chunk": "en", "table_chunk": "de", "image_chunk": "fr"}
+_KIND_COUNTS = ", ".join(f"count(*) FILTER (lang = '{v}') AS {k}" for k, v in _KINDS.items())
 
 
-@query("SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source")
+@query(f"SELECT source AS document_id, count(*) AS chunk_count, {_KIND_COUNTS}, count(*) FILTER (lang <> 'es') AS embed_count FROM documents GROUP BY source")
 def snk_hybrid(spark, d):
-    kinds = ["de", "en", "es", "fr"]
-    return table(spark, d, "documents").groupBy("source").pivot("lang", kinds).count().na.fill(0, kinds)
+    """The summary of hybrid chunks; documents stand for chunks whose type depends on the language."""
+    kind = F.coalesce(*[F.when(F.col("lang") == v, F.lit(k)) for k, v in _KINDS.items()])
+    docs = table(spark, d, "documents").select(F.col("source").alias("document_id"), kind.alias("type"))
+    return chunk.summary(docs.withColumn("should_embed", F.col("type") != "section_chunk"))
 
 
 @query("SELECT event_id, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d') AS d, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S.%g+08:00') AS ts FROM events")
@@ -639,25 +716,33 @@ def small_run(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def page_questions(spark: SparkSession, d: str) -> DataFrame:
     p = page_documents(spark, d).select(F.col("document_id").alias("qid"), F.element_at(F.filter(F.split("text", "\n"), lambda s: F.length(s) > 10), 1).alias("question"))
-    return p.where("question is not null and qid rlike '[05]$'")
+    return p.where("question is not null")
 
 
-@query()
+def _strip_sql(x: str) -> str:
+    return _PY_STRIP.replace("(s,", f"({x},", 1)
+
+
+_BLOCKS = rf"""{sql_bm25()}, b AS (SELECT qid, id, rank, bm25_score + 12e-2 AS score, u, CASE WHEN length(u) > 1800 THEN regexp_replace(substr(u, 1, 1800), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '') || chr(10) || '...[TRUNCATED ' || (length(u) - 1800) || ' chars]' ELSE u END AS block
+FROM (SELECT b.qid, b.id, b.rank, b.bm25_score, {_strip_sql('d.text')} AS u FROM bm25 b JOIN documents d ON d.doc_id = b.id) WHERE u <> ''),
+o AS (SELECT *, row_number() OVER w AS n, coalesce(sum(length(block)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b WINDOW w AS (PARTITION BY qid ORDER BY round(score, 9) DESC, rank, CAST(id AS VARCHAR))),
+fit AS (SELECT *, CASE WHEN length(block) <= 12000 - used THEN length(block) ELSE length(regexp_replace(substr(block, 1, CAST(12000 - used AS BIGINT)), '[\s\p{{Z}}\x0b\x1c-\x1f\x85]+$', '') || chr(10) || '...[TRUNCATED ' || (length(block) - CAST(12000 - used AS BIGINT)) || ' chars]') END AS chars FROM o WHERE n <= 12 AND (used + length(block) <= 12000 OR 12000 - used > 200))"""
+
+
+@query(f"WITH {_BLOCKS} SELECT qid, n AS citation_no, 'C' || n AS citation_id, CAST(id AS VARCHAR) AS id, round(score, 6) AS score, CAST(chars AS INTEGER) AS chars FROM fit")
 def ctx_compress(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", "source", "lang")
-    hits = bm25(spark, d).join(docs, "id")
     item = F.struct(F.lit(1).alias("place"), F.col("id").cast("string").alias("id"), F.lit("text_chunk").alias("type"), F.lit("hit").alias("role"), F.col("text").alias("content"), F.array("lang").alias("title_path"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("line_range"), F.lit("").alias("table_text"), F.lit("").alias("table_description"), F.col("id").cast("string").alias("document_id"), F.col("source").alias("document_name"))
-    blocks = context.compress(context.candidates(hits.select("qid", "rank", F.col("bm25_score").alias("score"), F.array(item).alias("context"))))
+    blocks = context.compress(context.candidates(hit_texts(spark, d).select("qid", "rank", F.col("bm25_score").alias("score"), F.array(item).alias("context"))))
     return blocks.select("qid", "citation_no", "citation_id", "id", F.round("score", 6).alias("score"), F.length("content").alias("chars"))
 
 
-@query("""SELECT item_id AS qid, '【用户问题】' || chr(10) || text || chr(10) || chr(10) || '【检索上下文】' || chr(10) || '[C1] 文档: ' || coalesce(source, '') || '; 章节: ' || lang || '; 类型: text_chunk; 行号: [1, 1]' || chr(10) || substr(t, 1, 50) || chr(10) || chr(10) ||
-'【输出要求】' || chr(10) || '- 先给出直接答案。' || chr(10) || '- 再列出依据，引用 [C1] 这样的证据编号。' || chr(10) || '- 如果依据不足，说明缺失哪些资料。' AS prompt FROM benchmark JOIN (SELECT doc_id, text AS t, source, lang FROM documents) ON doc_id = item_id""")
+@query(f"""WITH {sql_bm25(top=3)}, x AS (SELECT b.qid, string_agg('[C' || b.rank || '] 文档: ' || coalesce(d.source, '') || '; 章节: ' || coalesce(d.lang, '') || '; 类型: text_chunk; 行号: [1, 1]' || chr(10) || d.text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY b.rank) AS context FROM bm25 b JOIN documents d ON d.doc_id = b.id GROUP BY b.qid)
+SELECT item_id AS qid, '【用户问题】' || chr(10) || text || chr(10) || chr(10) || '【检索上下文】' || chr(10) || coalesce(context, '未检索到可用上下文。') || chr(10) || chr(10) ||
+'【输出要求】' || chr(10) || '- 先给出直接答案。' || chr(10) || '- 再列出依据，引用 [C1] 这样的证据编号。' || chr(10) || '- 如果依据不足，说明缺失哪些资料。' AS prompt FROM benchmark LEFT JOIN x ON x.qid = item_id""")
 def prm_build(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.lit(1).alias("citation_no"), F.lit("C1").alias("citation_id"), F.lit("text_chunk").alias("chunk_type"), F.col("doc_id").alias("document_id"), F.col("doc_id").alias("id"), F.col("source").alias("document_name"), F.array("lang").alias("title_path"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("line_range"), F.substring("text", 1, 50).alias("content"))
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    blocks = docs.join(q.select("qid"), "qid", "left_semi")
-    return context.prompts(q, blocks).where(F.size("citations") > 0).select("qid", F.col("messages")[1]["content"].alias("prompt"))
+    """Prompts with the whole texts of the first three hits of each question."""
+    blocks = hit_texts(spark, d).where("rank <= 3").select("qid", F.col("rank").alias("citation_no"), F.concat(F.lit("C"), F.col("rank").cast("string")).alias("citation_id"), F.lit("text_chunk").alias("chunk_type"), F.col("id").alias("document_id"), "id", F.col("source").alias("document_name"), F.array("lang").alias("title_path"), F.struct(F.lit(1).alias("start"), F.lit(1).alias("end")).alias("line_range"), F.col("text").alias("content"))
+    return context.prompts(questions(spark, d).select("qid", "question"), blocks).select("qid", F.col("messages")[1]["content"].alias("prompt"))
 
 
 @query()
@@ -668,8 +753,7 @@ def qu_prepare(spark, d):
 
 @query()
 def qu_grade(spark, d):
-    hits = bm25(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
-    return understand.grade(questions(spark, d).select("qid", "question"), hits, RuleChat())
+    return understand.grade(questions(spark, d).select("qid", "question"), hit_texts(spark, d), RuleChat())
 
 
 @query()

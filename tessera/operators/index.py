@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import tokenize
+from ..plans.store import keeper
 from .retrieve import B, K1, checked_broadcast
 
 MODES = {"chunk": "chunk", "chunk_sync": "chunk", "strict": "strict", "incremental": "incremental", "force": "force"}
@@ -17,6 +20,14 @@ def sync_mode(name: str | None) -> str:
     return MODES[key]
 
 
+def first_of(records: DataFrame, item: str) -> DataFrame:
+    """One record of each id: of several, the one that sorts first by its columns as text."""
+    rest = [c for c in records.columns if c != item]
+    order = [F.to_json(F.struct(*rest)) if rest else F.lit(0)]
+    w = Window.partitionBy(item).orderBy(*order)
+    return records.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
 def sync(index: DataFrame, records: DataFrame, mode: str = "chunk", *, item: str = "id", document: str = "document_id") -> DataFrame:
     """The index after the records came in, with a column ``change``: kept, inserted or replaced. Rows deleted are gone.
 
@@ -24,7 +35,7 @@ def sync(index: DataFrame, records: DataFrame, mode: str = "chunk", *, item: str
     documents' rows are all replaced. Documents without records are never touched.
     """
     mode = sync_mode(mode)
-    records = records.dropDuplicates([item])
+    records = first_of(records, item)
     cols = index.columns
     documents = records.select(document).distinct()
     untouched = index.join(documents, document, "left_anti").select(*cols, F.lit("kept").alias("change"))
@@ -81,17 +92,22 @@ def state_of(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame
 
 
 def numbered(rows: DataFrame, after: int) -> DataFrame:
-    """Tokens without an index get the next ones in token order, by range-partition counts rather than one global sort."""
+    """Tokens without an index get the next ones in token order.
+
+    They are range-partitioned and written as a table with their partition and place in it; prefix sums of the partitions' few
+    counts do the rest, so there is no sort in one task and a lost executor can't change a partition.
+    """
     spark = rows.sparkSession
     fresh = rows.where("idx is null").select("token", "df")
-    sliced = fresh.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "token").withColumn("p", F.spark_partition_id()).persist()
-    counts = sorted((r.p, r["count"]) for r in sliced.groupBy("p").count().collect())
-    base, at = {}, after
-    for p, n in counts:
-        base[p], at = at, at + n
-    start = F.create_map(*[F.lit(x) for k, v in base.items() for x in (k, v)]) if base else F.create_map(F.lit(0), F.lit(0))
-    place = F.row_number().over(Window.partitionBy("p").orderBy("token"))
-    new = sliced.select("token", (start[F.col("p")] + place - 1).cast("long").alias("idx"), "df")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = fresh.repartitionByRange(parts, "token").withColumn("p", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("p").orderBy("token")).cast("long")
+    sliced = keeper(spark)(sliced.withColumn("place", place), "numbered")
+    base, at = [], after
+    for p, n in sorted((r.p, r["count"]) for r in sliced.groupBy("p").count().collect()):
+        base, at = [*base, (p, at - 1)], at + n
+    starts = F.broadcast(spark.createDataFrame(base, "p int, start long"))
+    new = sliced.join(starts, "p").select("token", (F.col("start") + F.col("place")).alias("idx"), "df")
     return rows.where("idx is not null").select("token", "idx", "df").union(new)
 
 
@@ -107,6 +123,54 @@ def state_add(state: DataFrame, corpus: DataFrame, texts: DataFrame, text: str =
     return numbered(merged, 0 if top is None else top + 1), sums
 
 
+STATE_VERSION = 1
+
+
+def save_state(state: DataFrame, corpus: DataFrame, path: str) -> None:
+    """Writes the state as a new snapshot below ``path``; a marker file, made last, makes it the current one.
+
+    A run that dies on the way leaves the snapshot before it in place.
+    """
+    spark = state.sparkSession
+    name = f"{path.rstrip('/')}/{time.time_ns():020d}"
+    state.select("token", "idx", "df").write.parquet(f"{name}/tokens")
+    corpus.select(F.lit(STATE_VERSION).alias("version"), "docs", "len").coalesce(1).write.parquet(f"{name}/corpus")
+    p, fs = _fs(spark, f"{name}/_CURRENT")
+    fs.create(p).close()
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def load_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The latest whole snapshot; an empty state where there is none of this version."""
+    p, fs = _fs(spark, path)
+    names = sorted((s.getPath().toString() for s in (fs.listStatus(p) if fs.exists(p) else [])), reverse=True)
+    for name in names:
+        if fs.exists(_fs(spark, f"{name}/_CURRENT")[0]):
+            corpus = spark.read.parquet(f"{name}/corpus")
+            if corpus.where(F.col("version") == STATE_VERSION).isEmpty():
+                break
+            return spark.read.parquet(f"{name}/tokens"), corpus.select("docs", "len")
+    return spark.createDataFrame([], "token string, idx long, df long"), spark.createDataFrame([(0, 0)], "docs long, len long")
+
+
+def reset_state(spark: SparkSession, path: str) -> None:
+    """The current state becomes an empty one; a damaged one goes as well."""
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+    save_state(spark.createDataFrame([], "token string, idx long, df long"), spark.createDataFrame([(0, 0)], "docs long, len long"), path)
+
+
+def state_stats(state: DataFrame, corpus: DataFrame) -> DataFrame:
+    """One row: version, docs, len, average length (1 if empty), vocabulary size and tokens that some document has."""
+    sizes = state.agg(F.count("*").alias("vocabulary"), F.count_if(F.col("df") > 0).alias("seen"))
+    avg = F.round(F.when(F.col("docs") > 0, F.col("len") / F.col("docs")).otherwise(F.lit(1.0)), 2)
+    return corpus.select(F.lit(STATE_VERSION).alias("version"), "docs", "len", avg.alias("avg_len")).crossJoin(sizes)
+
+
 def idf(df: Column, docs: float) -> Column:
     """Unseen tokens have df 0 and the largest weight."""
     return F.when(df > 0, F.log(1 + (F.lit(docs) - df + 0.5) / (df + 0.5))).otherwise(F.log(F.lit(docs + 1)))
