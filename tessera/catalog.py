@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from .functions import clean, text as tx
 from .operators import access, chunk, context, enrich, evaluate, index as ix, retrieve, understand
 from .plans import pipelines, schema
+from .plans.log import StageLog, hit_metrics
 from .plans.store import keeper, root
 from .sources import readers
 from .sources.providers import HashedEmbedder, RuleChat
@@ -775,9 +776,74 @@ def pl_standard(spark, d):
 
 @query()
 def pl_enhanced(spark, d):
-    """Questions graded, with up to two more rounds of expanded queries for those that fail."""
-    index, _ = small_run(spark, d)
-    return pipelines.ask_again(index, page_questions(spark, d), keeper(spark))[0]
+    """The enhanced run over all pages: up to two more rounds, rescoring, merging, answers and their evaluation."""
+    keep = keeper(spark)
+    index, chunks = small_run(spark, d)
+    state, corpus = ix.state_of(index, "document")
+    state = keep(state, "state"), keep(corpus, "corpus")
+    return pipelines.ask_enhanced(index, chunks, page_questions(spark, d), keep, state=state)
+
+
+@query("SELECT stage, event, status FROM (VALUES ('one', 'stage_start', NULL), ('one', 'stage_end', 'ok'), ('two', 'stage_start', NULL), ('two', 'stage_error', 'error')) t(stage, event, status)")
+def pl_log(spark, d):
+    """Events of a stage that ends and one that fails."""
+    log = StageLog("demo")
+    with log.stage("one") as counted:
+        counted["documents"] = table(spark, d, "documents").count()
+    try:
+        with log.stage("two"):
+            raise ValueError("planned")
+    except ValueError:
+        pass
+    return log.frame(spark).select("stage", "event", "status")
+
+
+@query(f"WITH {_MERGED} SELECT qid, count(*) AS hit_count, count(*) FILTER (sources LIKE 'vector%') AS vector_hits, count(*) FILTER (sources LIKE '%bm25') AS bm25_hits, CAST(0 AS BIGINT) AS merged_hits, CAST(0 AS BIGINT) AS rescored_hits FROM merged GROUP BY qid")
+def rep_stage_metrics(spark, d):
+    return hit_metrics(merged(spark, d))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS chunk_id, coalesce(lang, '') AS chunk_type, coalesce(source, '') AS document_name, '[\"' || coalesce(lang, '') || '\",\"x\"]' AS title_path, sha256(text) AS content_hash, 'markdown_hybrid' AS chunk_strategy FROM documents")
+def fn_build_metadata(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("type"), F.col("source").alias("document_name"), F.array(F.coalesce("lang", F.lit("")), F.lit("x")).alias("title_path"), tx.content_hash("text").alias("content_hash"))
+    return ix.metadata(docs).select("chunk_id", "chunk_type", "document_name", "title_path", "content_hash", "chunk_strategy")
+
+
+@query("SELECT event_id, lower(array_to_string(list_transform(json_keys(props), lambda k: k || ' ' || json_extract_string(props, '$.' || k)), ' ')) AS said FROM events")
+def fn_normalize_text(spark, d):
+    return table(spark, d, "events").select("event_id", tx.normalize_json_text("props").alias("said"))
+
+
+@query(f"WITH j AS ({_JUDGED}), r AS (SELECT doc_id, unnest([source, 'src5', source, 'nowhere']) AS s, unnest([1, 2, 3, 4]) AS p FROM documents), o AS (SELECT doc_id, s, min(p) AS p FROM r WHERE s IS NOT NULL GROUP BY doc_id, s), k AS (SELECT o.*, coalesce(j.allowed, false) AS allowed FROM o LEFT JOIN j ON j.source = o.s) SELECT doc_id, coalesce(string_agg(s, ',' ORDER BY p) FILTER (allowed), '') AS allowed, coalesce(string_agg(s, ',' ORDER BY p) FILTER (NOT allowed), '') AS denied FROM k GROUP BY doc_id")
+def perm_split(spark, d):
+    asked = table(spark, d, "documents").select("doc_id", F.array_compact(F.array("source", F.lit("src5"), "source", F.lit("nowhere"))).alias("names"))
+    s = access.split_names(asked, judged(spark, d), qid="doc_id", names="names", name="source")
+    return s.select("doc_id", F.array_join("allowed", ",").alias("allowed"), F.array_join("denied", ",").alias("denied"))
+
+
+@query("SELECT 'L3' AS permission_level, 3 AS permission_rank, 'open,tens' AS allowed_bases, 'secret' AS denied_bases, 'KB.OPEN,KB.TENS' AS codes, 'src0,src1,src2' AS names")
+def perm_context(spark, d):
+    rules, levels, allow = access.load_rules(spark, _CONFIG)
+    c = access.context(rules, levels, "3", allow)
+    j = lambda c, n: F.array_join(c, ",").alias(n)
+    return c.select("permission_level", "permission_rank", j("allowed_knowledge_bases", "allowed_bases"), j("denied_knowledge_bases", "denied_bases"), j("allowed_permission_codes", "codes"), j("allowed_document_names", "names"))
+
+
+@query(f"WITH {sql_bm25()}, w AS (SELECT item_id AS qid, item_id * 7 % 50 AS id FROM benchmark WHERE item_id % 3 > 0), h AS (SELECT w.qid, min(b.rank) AS r FROM w LEFT JOIN bm25 b ON b.qid = w.qid AND b.id = w.id GROUP BY w.qid) SELECT b.item_id AS qid, {{ks}} FROM benchmark b LEFT JOIN h ON h.qid = b.item_id LEFT JOIN w ON w.qid = b.item_id".replace("{ks}", ", ".join(f"CASE WHEN w.qid IS NOT NULL THEN coalesce(h.r <= {k}, false) END AS chunk_hit_{k}" for k in evaluate.K_VALUES)))
+def ev_chunk_hit(spark, d):
+    labelled = questions(spark, d).select("qid", F.when(F.col("qid") % 3 > 0, F.array((F.col("qid") * 7 % 50))).otherwise(F.array().cast("array<bigint>")).alias("chunks"))
+    return evaluate.chunk_hit(bm25(spark, d).withColumnRenamed("id", "chunk_id"), labelled)
+
+
+@query("SELECT source AS document_id, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source")
+def idx_ids_by_doc(spark, d):
+    g = ix.ids_by_document(table(spark, d, "documents"), "doc_id", "source")
+    return g.select(F.col("source").alias("document_id"), F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"))
+
+
+@query(f"WITH {_IDX} SELECT r.id FROM r WHERE r.id IN (SELECT id FROM o)")
+def idx_existing(spark, d):
+    return ix.existing(*versions(spark, d)).select("id")
 
 
 @query()

@@ -77,8 +77,9 @@ def normalize_list(value: Column | str) -> Column:
 
 
 def parse_json(x: Column | str, schema: str, default: Column | None = None) -> Column:
-    """A typed value from JSON text; null, empty and malformed text give the default."""
-    parsed = F.from_json(F.nullif(_c(x), F.lit("")), schema, {"mode": "PERMISSIVE"})
+    """A typed value from JSON text; null, empty and malformed text give the default (null if there is none)."""
+    sound = F.when(F.try_parse_json(_c(x)).isNotNull(), _c(x))
+    parsed = F.when(sound.isNotNull(), F.from_json(sound, schema, {"mode": "PERMISSIVE"}))
     return parsed if default is None else F.coalesce(parsed, default)
 
 
@@ -151,5 +152,17 @@ def verdict(x: Column | str) -> Column:
 
 
 def normalize_json_text(x: Column | str) -> Column:
-    """Lower-cased text of a struct, map or array, keys and values in order."""
-    return F.lower(F.regexp_replace(F.to_json(_c(x)), r'[{}\[\]":,]+', " "))
+    """Lower-cased text of JSON text, or of a struct, map or array: keys and values in order, with spaces between; null is empty.
+
+    Values keep their own punctuation: the JSON is taken apart into strings and bare values, and each is read by itself.
+    """
+    atoms = F.regexp_extract_all(_c(x), F.lit(r'("[^"\\]*+(?:\\.[^"\\]*+)*+"|[-+.\w]+)'), F.lit(1))
+    return F.lower(F.array_join(F.transform(atoms, lambda a: F.coalesce(F.from_json(F.concat(F.lit("["), a, F.lit("]")), "array<string>")[0], F.lit(""))), " "))
+
+
+def meta_value(x: Column | str, kind: str) -> Column:
+    """A metadata value that can be filtered on: null is the empty text, scalars stay, everything else is its JSON text."""
+    x = _c(x)
+    if kind.startswith(("array", "struct", "map")):
+        return F.coalesce(F.to_json(x), F.lit(""))
+    return F.coalesce(x, F.lit("")) if kind == "string" else x

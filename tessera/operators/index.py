@@ -6,7 +6,7 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import meta_value, tokenize
 from ..plans.store import keeper
 from .retrieve import B, K1, checked_broadcast
 
@@ -49,6 +49,62 @@ def sync(index: DataFrame, records: DataFrame, mode: str = "chunk", *, item: str
     return untouched.union(kept.select(*cols, F.lit("kept").alias("change"))).union(new.select(*cols, F.lit("inserted").alias("change")))
 
 
+#: The metadata that an index keeps of a chunk, by the column that holds it.
+METADATA = (
+    "chunk_id", "chunk_type", "document_id", "document_name", "source_file", "source_path", "chunk_file", "retrieval_role", "semantic_unit_type", "title_path",
+    "line_range", "parent_context", "neighbor_chunk_ids", "related_ref_chunk_ids", "small_to_big_context_ids", "content_hash", "chunk_strategy", "chunk_schema_version",
+)
+STRATEGY, SCHEMA_VERSION = "markdown_hybrid", "1"
+
+
+def metadata(chunks: DataFrame, chunk_file: Column | None = None) -> DataFrame:
+    """The chunks' metadata: the columns of ``METADATA``, each a scalar or JSON text; columns that the chunks lack are empty."""
+    given = {"chunk_id": "id", "chunk_type": "type", "semantic_unit_type": "type"}
+    constant = {"chunk_strategy": F.lit(STRATEGY), "chunk_schema_version": F.lit(SCHEMA_VERSION), "chunk_file": chunk_file if chunk_file is not None else F.lit("")}
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+
+    def one(name: str) -> Column:
+        column = given.get(name, name)
+        return meta_value(column, kinds[column]) if column in kinds else constant.get(name, F.lit(""))
+
+    return chunks.select(*[one(n).alias(n) for n in METADATA])
+
+
+def open_index(spark: SparkSession, root: str, schema, name: str = "document_chunks") -> DataFrame:
+    """The latest version of a named index below ``root``; one without rows where none was written yet."""
+    p, fs = _fs(spark, f"{root.rstrip('/')}/{name}")
+    versions = sorted((s.getPath().toString() for s in (fs.listStatus(p) if fs.exists(p) else [])), reverse=True)
+    done = next((v for v in versions if fs.exists(_fs(spark, f"{v}/_SUCCESS")[0])), None)
+    return spark.read.schema(schema).parquet(done) if done else spark.createDataFrame([], schema)
+
+
+def write_index(index: DataFrame, root: str, name: str = "document_chunks") -> str:
+    """Writes the next version of a named index and gives its path; readers of the version before are not disturbed. No rows are an error."""
+    path = f"{root.rstrip('/')}/{name}/{time.time_ns():020d}"
+    index.write.parquet(path)
+    if index.sparkSession.read.schema(index.schema).parquet(path).isEmpty():
+        p, fs = _fs(index.sparkSession, path)
+        fs.delete(p, True)
+        raise ValueError(f"{name}: nothing to index")
+    return path
+
+
+def ids_by_document(records: DataFrame, item: str = "id", document: str = "document_id") -> DataFrame:
+    """(document, ids): the sorted distinct ids of each document's records."""
+    return records.groupBy(document).agg(F.array_sort(F.collect_set(item)).alias("ids"))
+
+
+def add_directory(state: DataFrame, corpus: DataFrame, path: str, pattern: str = "*.json") -> tuple[DataFrame, DataFrame]:
+    """The state with the texts of all chunk files below ``path``: objects or arrays of them, with ``content``, ``text`` or ``document``.
+
+    Files that are no JSON and chunks without text are passed over.
+    """
+    spark = state.sparkSession
+    read = spark.read.schema("content string, text string, document string").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    rows = read.json(path).select(F.coalesce(*[F.nullif(c, F.lit("")) for c in ("content", "text", "document")]).alias("text")).where("text is not null")
+    return state_add(state, corpus, rows)
+
+
 def existing(index: DataFrame, records: DataFrame, item: str = "id") -> DataFrame:
     return records.select(item).distinct().join(index, item, "left_semi")
 
