@@ -8,9 +8,11 @@
 3. Candidates: within a band bucket, every member against one (a star, not all pairs). The packed bits give a
    collision-corrected estimate by XOR and bit counts; pairs more than five standard deviations below the threshold are
    dropped, the others confirmed on their full shingle sets. A few bands come first; their links connect most copies.
-4. Then, over all bands, only buckets whose members are still in different components: first the members outside a
-   bucket's largest component against that component's smallest id, then all pairs across components by the estimate and
-   by one from wide signatures (1024 minima, made for these documents only), in blocks of bounded size. So every pair that shares a bucket is confirmed, ruled out by its estimate, or already
+4. Then, over all bands, only buckets whose members are still in different components: the members outside a bucket's largest
+   component against that component's smallest id. What is still apart after that is joined by its sets, exactly: each set
+   gives its rarest shingles as a prefix, so long that two sets of the threshold must share one of them; bounds on sizes and
+   places drop pairs before they are made. Sets that only share a frequent template have no rare shingle in common, so a
+   bucket of many such members makes no pairs. Every pair that shares a bucket is thus confirmed, ruled out, or already
    connected: no cap, no lost link.
 
 Defined results: a document without words has no shingles and no links; one of fewer words than a shingle has one
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
-from .components import components
+from .components import components, join_groups
 from .store import drop, in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
@@ -36,10 +38,6 @@ _N = BANDS * ROWS
 _rng = np.random.Generator(np.random.PCG64(20240117))
 _MUL = _rng.integers(0, 2**32, _N, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, _N, dtype=np.uint32)
-#: Minima of the wide signature, made only where members of a bucket stay apart.
-WIDE = 1024
-_WIDE_MUL = _rng.integers(0, 2**32, WIDE, dtype=np.uint32) | np.uint32(1)
-_WIDE_ADD = _rng.integers(0, 2**32, WIDE, dtype=np.uint32)
 _LANES = 0x5555555555555555
 BLOCK, FIRST_BANDS = 512, 4
 #: Ids that a broadcast may hold; beyond that many, the join shuffles.
@@ -83,39 +81,6 @@ def matches(a: str, b: str) -> Column:
     return F.lit(_N) - sum(lanes[1:], lanes[0])
 
 
-def similarity_estimate(a: str, b: str) -> Column:
-    """Jaccard similarity from matching lanes, corrected for chance collisions of the low bits."""
-    c = 1 / 2**BITS
-    return (matches(a, b) / F.lit(float(_N)) - c) / (1 - c)
-
-
-def wide_close(a: str, b: str, percent: int) -> Column:
-    """The same judgement from wide signatures: sizes that allow the threshold, and enough matching lanes."""
-    n, m = F.element_at(a, -1), F.element_at(b, -1)
-    differ = lambda x, y: x.bitwiseXOR(y)
-    count = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(_LANES)))
-    apart = F.aggregate(F.zip_with(F.slice(a, 1, WIDE // 32), F.slice(b, 1, WIDE // 32), differ), F.lit(0), lambda s, x: s + count(x))
-    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (WIDE - apart >= least_matches(percent, WIDE))
-
-
-def wide_signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, wide) of rows (id, text): the packed low bits of WIDE minima, and the number of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "text"):
-                sets = _sets(b, shingle)
-                n = np.array([len(s) for s in sets], np.int64)
-                some = np.flatnonzero(n)
-                out = np.zeros((0, WIDE // 32 + 1), np.int64)
-                if len(some):
-                    mins = minima(np.concatenate(sets), (np.cumsum(n) - n)[some], _WIDE_MUL, _WIDE_ADD)
-                    out = np.hstack([pack(mins), n[some, None]])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(list(out), pa.list_(pa.int64()))], names=["id", "wide"])
-
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, wide array<long>")
-
-
 def _sets(b: pa.RecordBatch, shingle: int) -> list[np.ndarray]:
     return K.shingle_sets(K.Words(*K.text_bytes(b.column(1)), K.NONSPACE), shingle)
 
@@ -175,16 +140,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
-def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame] | None = None, block: int = BLOCK, first_bands: int = FIRST_BANDS, refine: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None) -> DataFrame:
+def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame] | None = None, percent: int = PERCENT, block: int = BLOCK, first_bands: int = FIRST_BANDS) -> DataFrame:
     """(node, component) over classes (id, bands, sig) that share a band and are close.
 
-    ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to.
-    Three rounds, each over buckets that the rounds before left in several components: stars around the smallest id in
-    the first bands; in all bands, stars around the bucket's largest component; all pairs across components, compared
-    in blocks of about ``block`` by ``block``. ``refine`` gives, for ids, (id, wide) and a judgement of two ``wide``
-    columns, which the last round asks for as well.
+    ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to; ``sets``
+    gives (id, set) of a frame of ids. Three rounds, the later ones over buckets that those before left in several
+    components: stars around the smallest id in the first bands; in all bands, stars around the bucket's largest component;
+    an exact join of the sets by their prefixes.
     """
     sigs = classes.select("id", "sig")
+    n_classes = classes.count()
 
     def linked_by(pairs: DataFrame, before: DataFrame | None) -> DataFrame:
         p = pairs.distinct().join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("gb")), "b").join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("ga")), "a")
@@ -201,41 +166,60 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], confirm: Calla
             pairs = pairs.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
         return components(pairs, "a", "b")
 
+    def labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
+        return members.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    def still_open(members: DataFrame, total: int) -> DataFrame:
+        """Members (bucket, id, label) of buckets in several components."""
+        several = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("bucket", "n")
+        return materialize(join_groups(members, several, "bucket", total), "link-open")
+
     buckets = classes.select(F.explode(F.slice("bands", 1, first_bands)).alias("bucket"), "id")
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top")).where("a < top").select("bucket", "a")
-    linked = linked_by(buckets.join(pivots, "bucket").where("id > a").select("a", F.col("id").alias("b")), None)
-
-    def still_open(members: DataFrame, linked: DataFrame) -> DataFrame:
-        """(bucket, id, label) of buckets in several components."""
-        named = members.select("bucket", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("label"))
-        named = materialize(named, "link-labelled")
-        drop(members)
-        several = named.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-        out = materialize(named.join(several, "bucket", "left_semi"), "link-open")
-        drop(named)
-        return out
-
-    labels = classes.select("id", "bands").join(linked.withColumnRenamed("node", "id"), "id", "left").select(F.explode("bands").alias("bucket"), "id", F.coalesce("component", "id").alias("label"))
-    several = labels.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket")
-    members = materialize(labels.join(several, "bucket", "left_semi"), "link-open")
-    groups = members.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.min("id").alias("a"))
-    top = groups.groupBy("bucket").agg(F.max(F.struct("n", "a", "label")).alias("top")).select("bucket", "top.a", F.col("top.label").alias("most"))
-    linked = linked_by(members.join(top, "bucket").where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
-
-    members = still_open(members, linked)
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("nb"))
-    rest = members.join(blocks, "bucket").join(classes.select("id", "sig", "bands"), "id").withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    wide = F.lit(None)
-    if refine:
-        rest, wide = rest.join(materialize(refine[0](members.select("id").distinct()), "link-wide"), "id"), F.col("wide")
-    left = rest.select("bucket", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("x"), F.col("label").alias("lx"), F.col("sig").alias("gx"), F.col("bands").alias("bx"), wide.alias("wx"))
-    right = rest.select("bucket", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("y"), F.col("label").alias("ly"), F.col("sig").alias("gy"), F.col("bands").alias("by"), wide.alias("wy"))
-    on = (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("lx") != F.col("ly"))
-    on = on & ((F.col("l.i") < F.col("l.j")) | (F.col("x") < F.col("y"))) & close("gx", "gy")
-    if refine:
-        on = on & refine[1]("wx", "wy")
-    on = on & (F.col("l.bucket") == F.array_min(F.array_intersect("bx", "by")))  # a pair counts in one of its buckets only
-    return settled(left.alias("l").join(right.alias("r"), on).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), linked)
+    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a < top").select("bucket", "a", "n")
+    linked = linked_by(join_groups(buckets, pivots, "bucket", n_classes * first_bands).where("id > a").select("a", F.col("id").alias("b")), None)
+
+    banded = materialize(labelled(classes.select("id", "bands"), linked), "link-labelled")
+    members = still_open(banded.select(F.explode("bands").alias("bucket"), "id", "label"), n_classes * BANDS)
+    drop(banded)
+    total = members.count()
+    groups = members.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("a"))
+    top = groups.groupBy("bucket").agg(F.max(F.struct("m", "a", "label")).alias("top"), F.sum("m").alias("n")).select("bucket", "top.a", F.col("top.label").alias("most"), "n")
+    linked = linked_by(join_groups(members, top, "bucket", total).where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
+
+    named = materialize(labelled(members.select("bucket", "id"), linked), "link-labelled")
+    drop(members)
+    left = still_open(named, total)
+    drop(named)
+    apart = materialize(left.select("id", "label").distinct(), "link-apart")
+    drop(left)
+    if apart.isEmpty():
+        return linked
+    mine = materialize(sets(apart.select("id")).join(apart, "id"), "link-sets")
+    return linked_by(prefix_pairs(mine, percent, block), linked)
+
+
+def prefix_pairs(sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a < b) of rows (id, label, set) of different labels, among them all whose sets have the similarity.
+
+    A set of n elements has a partner only if the two share one of its n - ceil(n * percent / 100) + 1 rarest elements. A frequent
+    element's rows are compared in blocks of about ``block`` by ``block``, so no task gets all of them.
+    """
+    s = sets.where(F.size("set") > 0).select("id", "label", F.array_distinct("set").alias("set")).withColumn("n", F.size("set"))
+    one = s.select("id", F.explode("set").alias("x"))
+    seen = one.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
+    shared = join_groups(one, seen.select("x", "f", F.col("f").alias("n")), "x", s.agg(F.sum("n")).first()[0] or 0)
+    # Elements of one set only come first in its order: they take places of the prefix but have no partner.
+    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "n"), "id")
+    ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
+    rows = ranked.select("id", "label", "n", F.col("alone").alias("_alone"), F.posexplode(F.slice("common", F.lit(1), F.col("keep").cast("int"))).alias("p", "e"))
+    rows = rows.select(F.col("e.x").alias("x"), F.ceil(F.col("e.f") / block).cast("int").alias("nb"), "id", "label", "n", (F.col("p") + F.col("_alone")).alias("at"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
+    a = rows.select("x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
+    b = rows.select("x", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    # The first shared element stands at these places of the two, so no more than what follows can be shared; they must share this many.
+    can, must = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), (F.col("na") + F.col("nb")) * percent / (100 + percent)
+    fits = (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (can >= must - 1e-6)
+    return a.join(b, ["x", "i", "j"]).where(fits & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 @in_scratch("neardup-result")
@@ -247,7 +231,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sig = materialize(signatures(rows, "id", "text", shingle), "neardup-signatures")
     linkable = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(linkable.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig", "bands")).alias("m")).select("fa", "fb", "m.*"), "neardup-classes")
-    linked = link(classes, lambda x, y: matches(x, y) >= least, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), block, refine=(lambda ids: wide_signatures(rows_of(rows, ids), shingle), lambda x, y: wide_close(x, y, percent)))
+    sets = lambda ids: full_sets(rows_of(rows, ids), shingle).withColumnRenamed("shingles", "set")
+    linked = link(classes, lambda x, y: matches(x, y) >= least, sets, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), percent, block)
     roots = classes.select("fa", "fb", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("root"))
     out = sig.select("id", "n", "fa", "fb").join(roots, ["fa", "fb"], "left")
     root = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("root")).otherwise(F.col("id"))

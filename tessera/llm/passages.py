@@ -274,7 +274,7 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
     lines, line_classes = _natural_classes(rows_all)
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
-    linked = link(classes.select("id", "bands", "sig"), close)
+    linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", F.col("sig").alias("set")), percent=PERCENT)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
     keys = named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster")

@@ -61,6 +61,22 @@ def test_edges_and_chains(spark):
     assert N.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_prefix_join_is_exact_and_spares_templates(spark):
+    rnd = random.Random(9)
+    template = rnd.sample(range(10**6), 60)
+    sets = [(i, sorted({*template, *(rnd.randrange(2 * 10**6, 3 * 10**6) for _ in range(40))})) for i in range(300)]  # similarity about 0.43
+    for i in range(300, 420):  # around a few, some at the threshold
+        base = set(sets[i % 7][1])
+        out = rnd.sample(sorted(base), rnd.randrange(0, 18))
+        sets.append((i, sorted((base - {*out}) | {4 * 10**6 + 100 * i + k for k in range(len(out) // 2)})))
+    rows = spark.createDataFrame([(i, i if i % 5 else 0, s) for i, s in sets], "id long, label long, set array<long>")
+    close = {(a, b) for a, s in sets for b, t in sets if a < b and (a if a % 5 else 0) != (b if b % 5 else 0) and 100 * len({*s} & {*t}) >= 75 * len({*s} | {*t})}
+    for block in (3, 512):
+        got = {(r.a, r.b) for r in N.prefix_pairs(rows, 75, block).collect()}
+        assert close <= got and len(close) > 50 and len(got) < 3 * len(close)
+        assert not any(a < 300 and 7 <= a and b < 300 for a, b in got)
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert rows_of(N.query(spark, SF)) == brute(docs)
