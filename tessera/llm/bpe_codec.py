@@ -10,7 +10,8 @@ right until both ends meet white space inside the neighbouring chunks. This voca
 splits, so at such a place any two encodings agree exactly; if a chunk holds no white space it is re-encoded whole and
 the window goes on into the next. Between white space, a worker remembers the ids of words it has seen.
 
-Defined results: null and empty texts have no ids and decode to the empty string; rows of equal id are encoded one by one.
+Defined results: null and empty texts have no ids and decode to the empty string; rows of equal id are encoded one by one; very
+long texts are encoded whole, chunk by chunk; other columns are not read.
 """
 
 from __future__ import annotations

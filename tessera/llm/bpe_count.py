@@ -5,7 +5,8 @@ starts as a list of byte symbols; a heap holds the adjacent pairs that have a me
 lowest is merged until none is left. The count is the initial symbols minus the merges; no ids are made. Pieces repeat,
 so a worker remembers the counts of short pieces it has seen (a bounded memory that changes no result).
 
-Defined results: null and empty texts have 0 bytes and 0 tokens; rows with equal ids are counted one by one.
+Defined results: null and empty texts have 0 bytes and 0 tokens; rows with equal ids are counted one by one; very long texts are
+counted whole, and a piece without a break takes memory in proportion to it; other columns are not read.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ class Counter:
         self.cut = regex.compile("|".join(f"({regex.escape(s)})" for s in self.pairs.special)) if self.pairs.special else None
 
     def __call__(self, text: str) -> int:
-        if self.cut and "<" in text:
+        if any(s in text for s in self.pairs.special):
             parts = [p for p in self.cut.split(text) if p is not None]
             special = set(self.pairs.special)
             return sum(1 if p in special else self._plain(p) for p in parts)

@@ -10,7 +10,8 @@ The fit uses at most about ``per_language`` labelled rows of each language (a do
 id); only their presence bits reach the driver. The model broadcast has a fixed size per landmark.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without labelled rows everything is; rows
-of equal id are judged one by one; a null id is not held out. The label column is read for the fit only.
+of equal id are judged one by one; a null id is not held out; very long texts are read whole, in a batch of their own. The
+label column is read for the fit only; other columns pass through, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -138,12 +139,12 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None, sharpness: float = 4.0) -> DataFrame:
-    """The columns ``keep`` (all of them if None) with lang_pred and score, judged from the text alone.
+    """The columns ``keep`` (all but those named like a result, if None) with lang_pred and score, judged from the text alone.
 
     ``score`` is the softmax of the decision values at the chosen language.
     """
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")] if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = inner.drop("_text").schema.add("lang_pred", "string").add("score", "double")

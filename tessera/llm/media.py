@@ -2,9 +2,11 @@
 
 ``store`` turns each text into a payload (its UTF-8 bytes, zeros up to a positive multiple of 64) and writes it as an
 image of 8-bit samples; ``read`` decodes stored images to pixel arrays and computes features. A payload's width is 64
-pixels, doubled until the height fits the format. All work is row by row: no shuffle, and equal texts give equal images.
+pixels, doubled until the height fits the format; one larger than the format's 2**28 pixels becomes several images, one behind
+the other. All work is row by row: no shuffle, and equal texts give equal images.
 
-Defined results: null and empty texts have a payload of 64 zeros; rows of equal id are stored one by one.
+Defined results: null and empty texts have a payload of 64 zeros; rows of equal id are stored one by one; very long texts are
+stored whole; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ The fit uses at most about ``per_grade`` rated rows of each grade (a documented
 to the grades' real shares; only their features reach the driver, a few kilobytes each.
 
 Defined results: null and empty texts have no features and hence the prior's grades; without ratings of two grades every
-expected grade and tail is null and nothing is selected out; rows of equal id are graded one by one.
+expected grade and tail is null and nothing is selected out; rows of equal id are graded one by one; very long texts are read
+whole, in a batch of their own; other columns pass through, but one named like a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -142,12 +143,12 @@ def train(docs: DataFrame, ratings: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def grade(docs: DataFrame, model: Ordinal | None, *, text: str = "text", keep: list[str] | None = None, tail: float = TAIL) -> DataFrame:
-    """The columns ``keep`` (all of them if None) with expected_grade, tails (P of grade 1 or more, 2 or more, ...) and kept.
+    """The columns ``keep`` (all but those named like a result, if None) with expected_grade, tails (P of grade 1 or more, 2 or more, ...) and kept.
 
     ``kept``: the probability of grade 1 or more reaches ``tail``.
     """
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c not in ("expected_grade", "tails", "kept")] if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = inner.drop("_text").schema.add("expected_grade", "double").add("tails", T.ArrayType(T.DoubleType())).add("kept", "boolean")

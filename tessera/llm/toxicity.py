@@ -5,12 +5,14 @@ shares one bucket with another still differs from it, and one for each of its be
 words of a known stem have a meaning. Filters one, two and three words wide run over the whole text, each keeps its maximum, and a
 logistic unit gives the score. All filters of a batch are one matrix product; maxima are taken by segments.
 
-The fit uses at most about ``per_label`` labelled rows of each label (a documented bound, chosen by a hash of the id;
-rows of more than ``most_words`` words are not learnt from). A quarter of them only calibrates: first the score, by a logistic
+The fit uses at most about ``per_label`` labelled rows of each label (a documented bound, chosen by a hash of the id; rows
+of more than ``most_bytes`` are not learnt from, and if the rest has more than ``fit_bytes`` in all, fewer rows are chosen, so
+that the driver gets at most about 8 bytes for each of these bytes). A quarter of them only calibrates: first the score, by a logistic
 curve weighted to the labels' real shares, then for each language the threshold of best F1, which ``flagged`` uses.
 
 Defined results: null and wordless texts have empty maxima and hence a score too; without labelled rows every score is 0;
-rows of equal id are scored one by one; a null id is not held out; a language unknown to the fit has the common threshold.
+rows of equal id are scored one by one; a null id is not held out; a language unknown to the fit has the common threshold; very
+long texts are scored whole, in a batch of their own; other columns pass through, but one named ``score`` is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from . import kernel as K
 from .sample import remainder, stratified
 from .store import small_batches
 
-PER_LABEL, MOST_WORDS = 1500, 50_000
+PER_LABEL, MOST_BYTES, FIT_BYTES = 1500, 256 << 10, 16 << 20
 BUCKET_BITS, SIZE, FILTERS, SPANS = 16, 16, 16, (1, 2, 3)
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
 _PARTS = 2 + len(BEGINNINGS)
@@ -200,22 +202,30 @@ def word_hashes(b: pa.RecordBatch, text: str) -> K.Words:
     return K.Words(*K.text_bytes(b.column(b.schema.get_field_index(text))))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", learn: Column | None = None, per_label: int = PER_LABEL, most_words: int = MOST_WORDS) -> Net | None:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic", learn: Column | None = None, per_label: int = PER_LABEL, most_bytes: int = MOST_BYTES, fit_bytes: int = FIT_BYTES) -> Net | None:
     """A network from the labelled rows for which ``learn`` (on the labels' id) holds; None without both labels."""
     small_batches(docs.sparkSession)
     rated = labels.select(F.col(doc_id), F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1)).where(learn if learn is not None else F.lit(True)).distinct()
     counts = {r.label: r["count"] for r in rated.groupBy("label").count().collect()}
-    chosen = stratified(rated, "label", doc_id, per_label, "toxicity").select(F.col(doc_id).alias("id"), "label")
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    texts = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text"))
+
+    def labelled(n: int) -> DataFrame:
+        chosen = stratified(rated, "label", doc_id, n, "toxicity").select(F.col(doc_id).alias("id"), "label")
+        rows = texts.join(F.broadcast(chosen), "id")
+        return rows.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes)
+
+    rows = labelled(per_label)
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > fit_bytes:
+        rows = labelled(max(1, int(per_label * fit_bytes / total)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in K.slices(whole, "text"):
                 w = word_hashes(b, "text")
-                keep = pa.array(w.counts <= most_words)
                 c = codes(w)
                 words = [c[lo:hi].tobytes() for lo, hi in zip(w.first[:-1], w.first[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()).filter(keep), b.column(1).filter(keep), b.column(3).filter(keep), pa.array(words, pa.binary()).filter(keep)], names=["id", "lang", "label", "words"])
+                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), b.column(3), pa.array(words, pa.binary())], names=["id", "lang", "label", "words"])
 
     got = sorted(((r.id, r.label, r.lang or "", bytes(r.words)) for r in rows.select("id", "lang", "text", "label").mapInArrow(run, "id string, lang string, label int, words binary").collect()))
     y = np.array([g[1] for g in got])
@@ -235,9 +245,9 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 
 def score(docs: DataFrame, net: Net | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all but one named ``score``, if None) with ``score``, from the text alone."""
     small_batches(docs.sparkSession)
-    """The columns ``keep`` (all of them if None) with ``score``, from the text alone."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in docs.columns if c != "score"] if keep is None else keep
     inner = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(net)
     schema = inner.drop("_text").schema.add("score", "double")

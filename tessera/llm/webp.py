@@ -693,8 +693,17 @@ def _write_palette(w: Writer, table: np.ndarray, index: np.ndarray) -> np.ndarra
 LEAST_RUN = 16
 
 
-def encode_bytes(payload: np.ndarray, width: int = 64) -> bytes:
-    """A payload as the green channel of opaque black pixels, ``width`` or a multiple in a row, the last row filled with zeros.
+#: Pixels of the largest image.
+MOST_PIXELS = MOST_SIDE * MOST_SIDE
+
+
+def encode_bytes(payload: np.ndarray, width: int = 64, most: int = MOST_PIXELS) -> bytes:
+    """A payload as images one behind the other, each of at most ``most`` samples (one, but for very long payloads)."""
+    return b"".join(_encode_part(payload[at : at + most], width) for at in range(0, max(1, len(payload)), most))
+
+
+def _encode_part(payload: np.ndarray, width: int) -> bytes:
+    """Samples as the green channel of opaque black pixels, ``width`` or a multiple in a row, the last row filled with zeros.
 
     Up to 16 distinct bytes become a palette, several to a pixel; runs of a byte become back-references; the rest are
     literals of one prefix code.
@@ -756,6 +765,11 @@ def encode_bytes(payload: np.ndarray, width: int = 64) -> bytes:
     return _file(w)
 
 
-def decode_bytes(data: bytes, n: int) -> np.ndarray:
+def decode_bytes(data: bytes, n: int, most: int = MOST_PIXELS) -> np.ndarray:
     """The first n samples of what ``encode_bytes`` stored."""
-    return np.ascontiguousarray(decode(data)[..., 2]).ravel()[:n]
+    parts, at = [], 0
+    while at < len(data):
+        end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        parts.append(np.ascontiguousarray(decode(data[at:end])[..., 2]).ravel()[:most])
+        at = end
+    return (parts[0] if len(parts) == 1 else np.concatenate(parts))[:n]

@@ -8,13 +8,14 @@ SF = "/root/testdata/sf0.001"
 DOCS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("shard", T.StringType()),
-    T.StructField("id", T.StringType()), T.StructField("n", T.StringType()),
+    T.StructField("id", T.StringType()), T.StructField("n", T.StringType()), T.StructField("score", T.StringType()),
+    T.StructField("lang_pred", T.StringType()), T.StructField("kept", T.StringType()), T.StructField("label", T.StringType()), T.StructField("bucket", T.StringType()),
 ])
 
 
 def table(spark, rows):
     """Documents from (doc_id, text) pairs, with extra columns whose names clash with those of results."""
-    return spark.createDataFrame([(i, t, None, None, None, "x", "y", "z") for i, t in rows], DOCS)
+    return spark.createDataFrame([(i, t, None, None, None, "x", "y", "z", "s", "p", "k", "l", "b") for i, t in rows], DOCS)
 
 
 LONG = "word%d " * 3

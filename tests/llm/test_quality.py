@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 
 from tessera.llm import quality as Q
 
-from .helpers import EDGE, SF, table
+from .helpers import EDGE, SF, lower_az, table
 
 
 def test_ordinal_fit_finds_order_and_shares():
@@ -21,13 +23,55 @@ def test_ordinal_fit_finds_order_and_shares():
     assert np.corrcoef(p.sum(axis=1), x @ w)[0, 1] > 0.9
 
 
-def test_gradient_by_differences():
+def plain_features(text):
+    """Features of one text by loops over its bytes and words."""
+    data, out = text.encode(), [0.0] * Q.DIM
+    for n in (1, 2, 3):
+        for at in range(len(data) - n + 1):
+            v = int.from_bytes(data[at : at + n], "big")
+            out[(((v * (2 * n + 1)) % 2**32) * 0x9E3779B1 % 2**32) >> (32 - Q.BITS)] += 1
+    words = re.findall(r"[^\x20\x09-\x0D]+", lower_az(text))
+    out[Q.DIM - 1] += 8 * sum(a == b for a, b in zip(words, words[1:]))
+    total = max(1, sum(out))
+    return np.sqrt(np.array(out) / total)
+
+
+def test_features_against_loops():
+    texts = ["", "a", "the the THE cat cat", "Ünï ☃ ☃\t☃ x", "na " * 50, "\x00\n b"] + [t for _, t in EDGE if t and len(t) < 100]
+    raw = [t.encode() for t in texts]
+    got = Q.features(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, x in zip(texts, got):
+        assert np.abs(x - plain_features(t)).max() < 1e-6, t
+
+
+def test_first_step_follows_the_gradient_by_differences():
+    """Adam's first step moves each parameter by ``rate`` against the sign of its gradient, which differences give."""
     rng = np.random.default_rng(8)
-    x = rng.random((50, Q.DIM)).astype(np.float32) / 90
-    y = rng.integers(0, 3, 50)
-    a, b = Q.fit(x, y, rounds=1), Q.fit(x, y, rounds=60)
-    like = lambda m: np.log(np.diff(-np.hstack([np.ones((50, 1)), m.tails(x), np.zeros((50, 1))]), axis=1)[np.arange(50), y]).mean()
-    assert like(b) > like(a)
+    x = np.zeros((60, Q.DIM), np.float32)
+    x[:, :6] = rng.random((60, 6)) / 5
+    y = rng.integers(0, 3, 60)
+    rate = 1e-4
+    start, step = Q.fit(x, y, rounds=0, ridge=0), Q.fit(x, y, rounds=1, rate=rate, ridge=0)
+
+    def like(w, thetas):
+        m = Q.Ordinal(w, thetas)
+        p = np.hstack([np.ones((60, 1)), m.tails(x.astype(np.float64)), np.zeros((60, 1))])
+        return np.log((p[:, :-1] - p[:, 1:])[np.arange(60), y]).mean()
+
+    w0, t0 = start.weights.astype(np.float64), start.thetas
+    for k in range(6):
+        e = np.zeros(Q.DIM)
+        e[k] = 1e-4
+        slope = (like(w0 + e, t0) - like(w0 - e, t0)) / 2e-4
+        if abs(slope) > 1e-5:
+            assert np.sign(step.weights[k] - w0[k]) == np.sign(slope)
+    both = (like(w0, t0 + 1e-5) - like(w0, t0 - 1e-5)) / 2e-5
+    if abs(both) > 1e-5:
+        assert np.sign(step.thetas[0] - t0[0]) == np.sign(both)
+    gap = (like(w0, t0 + [0, 1e-5]) - like(w0, t0 - [0, 1e-5])) / 2e-5
+    if abs(gap) > 1e-5:
+        assert np.sign(np.diff(step.thetas)[0] - np.diff(t0)[0]) == np.sign(gap)
+    assert like(step.weights.astype(np.float64), step.thetas) > like(w0, t0)
 
 
 def test_edges(spark):
