@@ -23,8 +23,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     nothing here. Where no row can be learnt from there is no model, and every document goes.
     """
     held = F.coalesce(remainder("doc_id", 4) == 2, F.lit(False))
-    judged = langid.identify(docs, langid.train(docs, learn=~held))
-    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    model = langid.train(docs, learn=~held)
+    judged = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), model, text="_text", keep=["_row"])
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
