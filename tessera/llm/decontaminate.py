@@ -9,11 +9,13 @@ sufficient prefix: the rarest one over the whole corpus. The join goes:
 3. join documents with prefixes on the shingle, apply the positional and length bounds (the window must fit between
    the document's ends around the matched position), and compare the words byte by byte.
 
-Windows are broadcast in blocks of at most ``block_bytes``; a larger benchmark is worked off block by block, with the
-hits so far carried in two columns and written to the shared folder between blocks. Documents are never shuffled.
+Windows are broadcast in blocks of at most ``block_bytes``. A larger benchmark is worked off block by block: each reads the
+documents again and writes only the hits (hashes of id and text, spans, items), so what is kept grows with the hits and not
+with blocks times texts; at the end the hits go back to the rows. Texts are never shuffled.
 
 Defined results: null or wordless texts have no words and no hits; rows with equal ids are judged one by one; items with
-a null id or no words are ignored; items that repeat an id count once; other columns are not read.
+a null id or no words are ignored; items that repeat an id count once; very long texts are read whole, in a batch of their
+own; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import kernel as K
-from .store import materialize, small_batches
+from .store import drop, materialize, small_batches
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 5, 32 << 20
 
@@ -138,27 +140,33 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     ``spans`` are the hit word ranges as [first word, words] pairs, flattened. See the module for method and edge cases.
     """
     small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     wins = materialize(item_windows(items, item_id, item_text, window), "decontaminate-windows")
     total = wins.agg(F.sum(F.length("phrase") + F.length("item") + 64)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
-    state = rows.select("id", "text", F.lit(None).cast("array<int>").alias("spans"), F.lit(None).cast("array<string>").alias("items"), F.lit(0).cast("long").alias("n_words"))
-    keep = T.StructType(state.schema.fields)
+    parts = []
     for block in range(n_blocks):
         windows: dict[bytes, list[str]] = defaultdict(list)
         for r in wins.where(F.pmod(F.xxhash64("phrase", "item"), F.lit(n_blocks)) == block).toLocalIterator():
             windows[bytes(r.phrase)].append(r.item)
-        last = block == n_blocks - 1
-        state = _block(state, keep, _prefixes(windows, rows, shingle), dict(windows), last)
-        if not last:
-            state = materialize(state, "decontaminate-block")
-    return state.select(F.col("id").alias(doc_id), "n_words", "n_hit", "items", "spans")
+        if n_blocks == 1:
+            found = _hits(rows, _prefixes(windows, rows, shingle), dict(windows))
+        else:
+            hits = _hits(rows, _prefixes(windows, rows, shingle), dict(windows)).where("n_hit > 0").select(F.xxhash64("id").alias("_id"), F.col("version").alias("_version"), "spans", "items")
+            parts.append(materialize(hits.distinct(), "decontaminate-block"))
+    drop(wins)
+    if n_blocks > 1:
+        found = _together(_hits(rows, {}, {}), parts)
+    return found.select(F.col("id").alias(doc_id), "n_words", "n_hit", "items", "spans")
+
+
+OUT = "n_words long, n_hit long, spans array<int>, items array<string>, version long"
 
 
-def _block(state: DataFrame, keep: T.StructType, tables: dict, windows: dict, last: bool) -> DataFrame:
-    shared = state.sparkSession.sparkContext.broadcast((tables, windows))
-    out = T.StructType([f for f in keep.fields if not (last and f.name == "text")] + ([T.StructField("n_hit", T.LongType())] if last else []))
+def _hits(rows: DataFrame, tables: dict, windows: dict) -> DataFrame:
+    """(id, n_words, n_hit, spans, items, version) of each row, as far as these windows go."""
+    shared = rows.sparkSession.sparkContext.broadcast((tables, windows))
+    schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL(OUT).fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, windows = shared.value
@@ -166,23 +174,41 @@ def _block(state: DataFrame, keep: T.StructType, tables: dict, windows: dict, la
             for b in K.slices(whole, "text"):
                 w = K.Words(*K.text_bytes(b.column(1)))
                 hits = find_hits(w, tables, windows)
-                spans, found = b.column(2).to_pylist(), b.column(3).to_pylist()
-                counts, n_hit = w.counts, np.zeros(b.num_rows, np.int64)
-                for d in range(b.num_rows):
-                    new, names = hits.get(d, ((), ()))
-                    pairs = {*new, *zip((spans[d] or [])[::2], (spans[d] or [])[1::2])}
-                    if last and pairs:
-                        mark = np.zeros(int(counts[d]) + 1, np.int32)
-                        lo = np.array([p[0] for p in pairs])
-                        np.add.at(mark, lo, 1)
-                        np.add.at(mark, lo + np.array([p[1] for p in pairs]), -1)
-                        n_hit[d] = int((np.cumsum(mark) > 0).sum())
-                    spans[d] = [x for p in sorted(pairs) for x in p]
-                    found[d] = sorted({*(found[d] or ()), *names})
-                cols = {"id": b.column(0), "text": b.column(1), "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(found, pa.list_(pa.string())), "n_words": pa.array(counts), "n_hit": pa.array(n_hit)}
-                yield pa.RecordBatch.from_arrays([cols[f.name] for f in out.fields], names=out.fieldNames())
-
-    return state.mapInArrow(run, out)
+                n_hit = np.zeros(b.num_rows, np.int64)
+                spans, items = [[]] * b.num_rows, [[]] * b.num_rows
+                for d, (pairs, names) in hits.items():
+                    pairs = sorted({*pairs})
+                    n_hit[d] = covered(pairs, int(w.counts[d]))
+                    spans[d], items[d] = [x for p in pairs for x in p], sorted(names)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(w.counts), pa.array(n_hit), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())), b.column(2)], names=schema.names)
+
+    return rows.select("id", "text", F.xxhash64("text").alias("version")).mapInArrow(run, schema)
+
+
+def covered(pairs: list[tuple[int, int]], n_words: int) -> int:
+    """Words that lie in any of the ranges (first word, words)."""
+    mark = np.zeros(n_words + 1, np.int32)
+    lo, n = np.array(pairs).T
+    np.add.at(mark, lo, 1)
+    np.add.at(mark, lo + n, -1)
+    return int((np.cumsum(mark) > 0).sum())
+
+
+def _together(rows: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """The rows with the hits of all blocks, found again by 128 bits of hashes of id and text. Few hits are broadcast by the optimizer; else ids move, texts never."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    every = every.groupBy("_id", "_version").agg(F.flatten(F.collect_list("spans")).alias("flat"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    pairs = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), (F.size("flat") / 2 - 1).cast("int")), lambda i: F.struct(F.get("flat", i * 2).alias("at"), F.get("flat", i * 2 + 1).alias("n")))))
+    # Ranges in order: what a range adds is what lies beyond the furthest end before it.
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum"))
+    step = lambda s, p: F.struct(F.greatest(s["end"], p["at"] + p["n"]).alias("end"), (s["sum"] + F.greatest(p["at"] + p["n"] - F.greatest(s["end"], p["at"]), F.lit(0))).alias("sum"))
+    one = every.withColumn("pairs", pairs).select("_id", "_version", "items", F.aggregate("pairs", start, step, lambda s: s["sum"]).alias("n_hit"), F.flatten(F.transform("pairs", lambda p: F.array(p["at"], p["n"]))).alias("spans"))
+    base = rows.select("id", "version", "n_words")
+    out = base.join(one, (F.xxhash64("id") == F.col("_id")) & (F.col("version") == F.col("_version")), "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return out.select("id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), none("items", "array<string>"), none("spans", "array<int>"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

@@ -46,6 +46,14 @@ def test_edges(spark, block_bytes):
     assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=str) == brute(docs, items)
 
 
+def test_blocks_and_dropping_agree(spark):
+    docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    same = lambda df: sorted((r.doc_id, r.n_words, r.n_hit, r["items"], sorted(zip(r.spans[::2], r.spans[1::2]))) for r in df.collect())
+    assert same(D.decontaminate(docs, items, block_bytes=40_000)) == same(D.decontaminate(docs, items))
+    kept = lambda **o: sorted(r.doc_id for r in D.drop_contaminated(docs, items, **o).collect())
+    assert kept(block_bytes=40_000) == kept() and 0 < len(kept()) < docs.count()
+
+
 def test_empty_tables(spark):
     docs, items = table(spark, []), spark.createDataFrame([], "item_id long, text string")
     assert D.decontaminate(docs, items).count() == 0
