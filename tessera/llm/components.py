@@ -1,7 +1,7 @@
 """Connected components of a distributed edge list by alternating large-star and small-star steps.
 
-Each step is a grouped minimum and a join; stars shrink to depth one in a logarithmic number of rounds. Nodes of high degree
-are joined by a broadcast of a proven size, so their edges stay spread over tasks. Edges never leave the cluster.
+Each step is a grouped minimum and a join; stars shrink to depth one in a logarithmic number of rounds, and a node of
+any degree is spread over tasks by the join's skew handling. Edges never leave the cluster.
 """
 
 from __future__ import annotations
@@ -11,30 +11,34 @@ from pyspark.sql import DataFrame, functions as F
 from .store import drop, materialize
 
 #: Keys that a join takes out of the shuffle, at most.
-HOT_KEYS = 4096
+HOT_KEYS = 1024
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` (``total`` of them) joined with the one row (key, n, ...) that ``groups`` has of some keys, n being the rows of that key.
+    """``rows`` (``total`` of them) joined with the one row (key, n, ...) that the table ``groups`` has of some keys, n being the rows of that key.
 
-    Keys with more than ``total / HOT_KEYS`` rows can't be more than ``HOT_KEYS``, so these groups are broadcast and their rows
-    stay where they are; all others are joined by a shuffle, in which no key has more than that share.
+    Keys with more than ``total / HOT_KEYS`` rows can't be more than ``HOT_KEYS``: these groups are broadcast and their rows
+    stay where they are. All others are joined by a shuffle, in which no key has more than that share.
     """
-    least = max(64, total // HOT_KEYS + 1)
-    hot = F.broadcast(groups.where(F.col("n") >= least))
-    cold = rows.join(F.broadcast(groups.where(F.col("n") >= least).select(key)), key, "left_anti")
-    return rows.join(hot, key).drop("n").unionByName(cold.join(groups.where(F.col("n") < least), key).drop("n"))
+    least = max(256, total // HOT_KEYS + 1)
+    hot = [r[0] for r in groups.where(F.col("n") >= least).select(key).collect()]
+    groups = groups.drop("n")
+    if not hot:
+        return rows.join(groups, key)
+    is_hot = F.col(key).isin(hot)
+    spread = rows.where(is_hot).join(F.broadcast(groups.where(is_hot)), key)
+    return spread.unionByName(rows.where(~is_hot).join(groups.where(~is_hot), key))
 
 
-def _large_star(e: DataFrame, total: int) -> DataFrame:
+def _large_star(e: DataFrame) -> DataFrame:
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("low"), F.count("*").alias("n")).select("u", F.least("u", "low").alias("m"), "n")
-    return join_groups(both, low, "u", 2 * total).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(e: DataFrame, total: int) -> DataFrame:
-    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    rest = join_groups(e, low, "u", total).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(e: DataFrame) -> DataFrame:
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    rest = e.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return rest.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -53,7 +57,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 50) -> DataFr
     for _ in range(max_rounds):
         if not before[0]:
             break
-        last, e = e, materialize(_small_star(_large_star(e, before[0]), 2 * before[0]), "components")
+        last, e = e, materialize(_small_star(_large_star(e)), "components")
         drop(last)
         after = _state(e)
         if after == before:

@@ -172,10 +172,12 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     def still_open(members: DataFrame, total: int) -> DataFrame:
         """Members (bucket, id, label) of buckets in several components."""
         several = members.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("n")).where("l0 < l1").select("bucket", "n")
+        several = materialize(several, "link-several")
         return materialize(join_groups(members, several, "bucket", total), "link-open")
 
     buckets = classes.select(F.explode(F.slice("bands", 1, first_bands)).alias("bucket"), "id")
     pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a < top").select("bucket", "a", "n")
+    pivots = materialize(pivots, "link-pivots")
     linked = linked_by(join_groups(buckets, pivots, "bucket", n_classes * first_bands).where("id > a").select("a", F.col("id").alias("b")), None)
 
     banded = materialize(labelled(classes.select("id", "bands"), linked), "link-labelled")
@@ -184,6 +186,7 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     total = members.count()
     groups = members.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("a"))
     top = groups.groupBy("bucket").agg(F.max(F.struct("m", "a", "label")).alias("top"), F.sum("m").alias("n")).select("bucket", "top.a", F.col("top.label").alias("most"), "n")
+    top = materialize(top, "link-top")
     linked = linked_by(join_groups(members, top, "bucket", total).where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
 
     named = materialize(labelled(members.select("bucket", "id"), linked), "link-labelled")
@@ -207,7 +210,8 @@ def prefix_pairs(sets: DataFrame, percent: int, block: int) -> DataFrame:
     s = sets.where(F.size("set") > 0).select("id", "label", F.array_distinct("set").alias("set")).withColumn("n", F.size("set"))
     one = s.select("id", F.explode("set").alias("x"))
     seen = one.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
-    shared = join_groups(one, seen.select("x", "f", F.col("f").alias("n")), "x", s.agg(F.sum("n")).first()[0] or 0)
+    seen = materialize(seen.select("x", "f", F.col("f").alias("n")), "link-shared")
+    shared = join_groups(one, seen, "x", s.agg(F.sum("n")).first()[0] or 0)
     # Elements of one set only come first in its order: they take places of the prefix but have no partner.
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "n"), "id")
     ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
