@@ -13,13 +13,17 @@ TABLE_TERMS = ("表", "表格", "价格", "金额", "预算", "薪酬", "等级"
 NO_CLAIM = "无声明"
 
 
+#: Fixed value: the characters of Unicode's property White_Space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
 def strip(x: Column | str) -> Column:
-    """Without white space of any script at both ends (``trim`` knows only the space)."""
-    return F.regexp_replace(_c(x), r"(?U)^\s+|\s+$", "")
+    """Without white space of any script at both ends (``trim`` alone knows only the space)."""
+    return F.trim(_c(x), F.lit(WHITE))
 
 
 def tokenize(x: Column | str) -> Column:
@@ -28,7 +32,8 @@ def tokenize(x: Column | str) -> Column:
     words = F.regexp_extract_all(t, F.lit(r"([a-z0-9_]+)"), F.lit(1))
     han = F.regexp_extract_all(t, F.lit(r"([\x{4e00}-\x{9fff}])"), F.lit(1))
     n = F.greatest(F.size(han) - 1, F.lit(0))
-    return F.concat(words, han, F.zip_with(F.slice(han, F.lit(1), n), F.slice(han, F.lit(2), n), lambda a, b: F.concat(a, b)))
+    pairs = F.zip_with(F.slice(han, F.lit(1), n), F.slice(han, F.lit(2), n), lambda a, b: F.concat(a, b))
+    return F.when(t.rlike(r"[\x{4e00}-\x{9fff}]"), F.concat(words, han, pairs)).otherwise(words)  # most texts have no CJK: one pass less each
 
 
 def token_set(x: Column | str) -> Column:

@@ -135,10 +135,14 @@ def new_inputs(inputs: DataFrame, parsed: DataFrame, content: str = "content", k
 
 
 def texts_stats(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(token, df) and one row (docs, len) of a batch of texts; texts without tokens count as documents."""
-    t = texts.select(F.monotonically_increasing_id().alias("n"), tokenize(text).alias("t"))
-    df = t.select("n", F.explode(F.array_distinct("t")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    return df, t.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("t").cast("long")), F.lit(0)).alias("len"))
+    """(token, df) and one row (docs, len) of a batch of texts; texts without tokens count as documents.
+
+    One pass: each text also counts for the empty token, whose row has the number and length of all texts.
+    """
+    t = texts.select(tokenize(text).alias("t")).select(F.size("t").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit("")), F.array_distinct("t"))).alias("token"))
+    counts = keeper(texts.sparkSession)(t.groupBy("token").agg(F.count("*").alias("df"), F.sum("len").alias("len")), "token-counts")
+    corpus = counts.where("token = ''").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("len"))
+    return counts.where("token <> ''").select("token", "df"), corpus
 
 
 def state_of(texts: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
