@@ -144,7 +144,7 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     """(node, component) over classes (id, bands, sig) that share a band and are close.
 
     ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to; ``sets``
-    gives (id, set) of a frame of ids. Three rounds, the later ones over buckets that those before left in several
+    gives (id, sig, set) of a frame of ids. Three rounds, the later ones over buckets that those before left in several
     components: stars around the smallest id in the first bands; in all bands, stars around the bucket's largest component;
     an exact join of the sets by their prefixes.
     """
@@ -198,32 +198,34 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     if apart.isEmpty():
         return linked
     mine = materialize(sets(apart.select("id")).join(apart, "id"), "link-sets")
-    return linked_by(prefix_pairs(mine, percent, block), linked)
+    return settled(prefix_pairs(mine, percent, block, close), linked)
 
 
-def prefix_pairs(sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (a < b) of rows (id, label, set) of different labels, among them all whose sets have the similarity.
+def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a < b) of rows (id, label, sig, set) of different labels that are close, among them all whose sets have the similarity.
 
     A set of n elements has a partner only if the two share one of its n - ceil(n * percent / 100) + 1 rarest elements. A frequent
     element's rows are compared in blocks of about ``block`` by ``block``, so no task gets all of them.
     """
-    s = sets.where(F.size("set") > 0).select("id", "label", F.array_distinct("set").alias("set")).withColumn("n", F.size("set"))
+    s = sets.where(F.size("set") > 0).select("id", "label", "sig", F.array_distinct("set").alias("set")).withColumn("n", F.size("set"))
     one = s.select("id", F.explode("set").alias("x"))
     seen = one.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
     seen = materialize(seen.select("x", "f", F.col("f").alias("n")), "link-shared")
     shared = join_groups(one, seen, "x", s.agg(F.sum("n")).first()[0] or 0)
     # Elements of one set only come first in its order: they take places of the prefix but have no partner.
-    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "n"), "id")
+    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "sig", "n"), "id")
     ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
-    rows = ranked.select("id", "label", "n", F.col("alone").alias("_alone"), F.posexplode(F.slice("common", F.lit(1), F.col("keep").cast("int"))).alias("p", "e"))
-    rows = rows.select(F.col("e.x").alias("x"), F.ceil(F.col("e.f") / block).cast("int").alias("nb"), "id", "label", "n", (F.col("p") + F.col("_alone")).alias("at"))
+    rows = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.posexplode(F.slice("common", F.lit(1), F.col("keep").cast("int"))).alias("p", "e"))
+    rows = rows.select(F.col("e.x").alias("x"), F.ceil(F.col("e.f") / block).cast("int").alias("nb"), "id", "label", "sig", "n", (F.col("p") + F.col("_alone")).alias("at"))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
-    a = rows.select("x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"))
-    b = rows.select("x", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"))
+    a = rows.select("x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("sig").alias("ga"))
+    b = rows.select("x", F.explode(F.sequence(F.lit(0), "k")).alias("i"), F.col("k").alias("j"), F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("sig").alias("gb"))
     # The first shared element stands at these places of the two, so no more than what follows can be shared; they must share this many.
     can, must = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")), (F.col("na") + F.col("nb")) * percent / (100 + percent)
     fits = (F.col("la") != F.col("lb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent) & (can >= must - 1e-6)
-    return a.join(b, ["x", "i", "j"]).where(fits & ((F.col("i") < F.col("j")) | (F.col("a") < F.col("b")))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    on = fits & ((F.col("l.i") < F.col("l.j")) | (F.col("a") < F.col("b"))) & close("ga", "gb")
+    same = (F.col("l.x") == F.col("r.x")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j"))
+    return a.alias("l").join(b.alias("r"), same & on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 @in_scratch("neardup-result")
@@ -235,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sig = materialize(signatures(rows, "id", "text", shingle), "neardup-signatures")
     linkable = sig.where((F.col("n") > 0) & F.col("id").isNotNull())
     classes = materialize(linkable.groupBy("fa", "fb").agg(F.min(F.struct("id", "sig", "bands")).alias("m")).select("fa", "fb", "m.*"), "neardup-classes")
-    sets = lambda ids: full_sets(rows_of(rows, ids), shingle).withColumnRenamed("shingles", "set")
+    sets = lambda ids: full_sets(rows_of(rows, ids), shingle).withColumnRenamed("shingles", "set").join(classes.select("id", "sig"), "id")
     linked = link(classes, lambda x, y: matches(x, y) >= least, sets, lambda pairs: materialize(confirm(pairs, rows, shingle, percent), "neardup-links"), percent, block)
     roots = classes.select("fa", "fb", "id").join(linked.withColumnRenamed("node", "id"), "id", "left").select("fa", "fb", F.coalesce("component", "id").alias("root"))
     out = sig.select("id", "n", "fa", "fb").join(roots, ["fa", "fb"], "left")

@@ -35,7 +35,8 @@ SHINGLE, PERCENT = 5, 75
 LENGTH, SPREAD = 24, 24
 BANDS, ROWS = 8, 4
 _rng = np.random.Generator(np.random.PCG64(7))
-_MUL = _rng.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
+_MUL = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _PLACE_BITS = 26
 #: Keeps the classes and bands of natural paragraphs apart from those of windows.
 _NATURAL = np.uint64(0x6A09E667F3BCC909)
@@ -177,7 +178,7 @@ def natural_paragraphs(rows: DataFrame) -> DataFrame:
                     continue
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 short, begins, key = natural_sets(w, at, count)
-                bands = _bands(lambda m, x=K.mix(short), begins=begins: np.minimum.reduceat(x * m, begins), len(at), _NATURAL)
+                bands = _bands(lambda m, a, x=_halves(short), begins=begins: np.minimum.reduceat(x * m + a, begins), len(at), _NATURAL)
                 chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 begin = chars[offsets[doc]]
                 start, end = chars[w.starts[at]] - begin, chars[w.ends[at + count - 1]] - begin
@@ -207,12 +208,16 @@ def sets_of(rows: DataFrame) -> DataFrame:
     return rows.select("keys", "text").mapInArrow(run, "key long, set array<int>")
 
 
-def _bands(least: Callable[[np.uint64], np.ndarray], n: int, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
-    """n x BANDS hashes, from a function that gives the least product of each set with a multiplier."""
+def _halves(hashes: np.ndarray) -> np.ndarray:
+    return (K.mix(hashes) >> np.uint64(32)).astype(np.uint32)
+
+
+def _bands(least: Callable[[np.uint32, np.uint32], np.ndarray], n: int, salt: np.uint64 = np.uint64(0)) -> np.ndarray:
+    """n x BANDS hashes, from a function that gives the least permuted value of each set for a multiplier and an addend."""
     bands = np.zeros((n, BANDS), np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) ^ salt)
     for k in range(BANDS):
-        for m in _MUL[k * ROWS : (k + 1) * ROWS]:
-            bands[:, k] = K.mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) ^ least(m))
+        for m, a in zip(_MUL[k * ROWS : (k + 1) * ROWS], _ADD[k * ROWS : (k + 1) * ROWS]):
+            bands[:, k] = K.mix(bands[:, k] * np.uint64(0x9E3779B97F4A7C15) ^ least(m, a).astype(np.uint64))
     return bands.view(np.int64)
 
 
@@ -222,8 +227,8 @@ def banded(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = b.column(3).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64)
-            sets = K.mix(sets)
-            bands = _bands(lambda m, sets=sets: (sets * m).min(axis=1) if len(sets) else np.zeros(0, np.uint64), len(sets))
+            sets = _halves(sets)
+            bands = _bands(lambda m, a, sets=sets: (sets * m + a).min(axis=1) if len(sets) else np.zeros(0, np.uint32), len(sets))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bands), pa.list_(pa.int64()))], names=["id", "lo", "hi", "sig", "bands"])
 
     kind = classes.schema["lo"].dataType.simpleString()
@@ -246,7 +251,7 @@ def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The natural paragraphs of rows (id, version, text), and (id, lo, hi, sig, bands) of their classes that can be in a cluster."""
     lines = materialize(natural_paragraphs(rows), "passages-lines")
     classes = materialize(lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bands").alias("bands")), "passages-line-classes")
-    buckets = classes.select(F.explode("bands").alias("bucket"), "key")
+    buckets = classes.select(F.explode("bands").alias("bucket"), "key").repartition("bucket")  # one exchange for the groups and the join
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("bucket")
     near = materialize(buckets.join(shared, "bucket", "left_semi").select("key").distinct(), "passages-line-near")
     # One document shows the set of each class; a class that shares no band needs none.
@@ -259,9 +264,9 @@ def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lines, one.unionByName(classes.join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands"))
 
 
-@in_scratch("passages-result")
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more."""
+    """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more; rows of equal
+    id and text give theirs each."""
     small_batches(docs.sparkSession)
     rows = rows_all = _rows(docs, doc_id, text)
     seen = _anchor_rows(rows.select("id", "text"), False).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
@@ -274,12 +279,17 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
     lines, line_classes = _natural_classes(rows_all)
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
-    linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", F.col("sig").alias("set")), percent=PERCENT)
+    linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
     keys = named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster")
     spans = found.select("id", "version", "start", "end", "key").union(lines.select("id", "version", "start", "end", "key"))
-    return spans.join(keys, "key").select("id", "version", "start", "end", "cluster", "keeper").distinct()
+    return spans.join(keys, "key").select("id", "version", "start", "end", "cluster", "keeper")
+
+
+@in_scratch("passages-result")
+def found_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return passages(repeated_paragraphs(docs, doc_id=doc_id, text=text))
 
 
 def passages(paragraph_rows: DataFrame) -> DataFrame:
@@ -293,7 +303,7 @@ def passages(paragraph_rows: DataFrame) -> DataFrame:
 
 def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per passage that other documents share: id, start, end (characters), removed, kept_in (the doc_id that keeps it), cluster."""
-    return passages(repeated_paragraphs(docs, doc_id=doc_id, text=text)).select(F.col("id").alias(doc_id), "start", "end", "removed", "kept_in", "cluster")
+    return found_passages(docs, doc_id, text).select(F.col("id").alias(doc_id), "start", "end", "removed", "kept_in", "cluster")
 
 
 def remove_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
@@ -301,7 +311,7 @@ def remove_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     A document of which no word is left goes; one that had none stays. ``length`` names a column of character counts to renew.
     """
-    cut = passages(repeated_paragraphs(docs, doc_id=doc_id, text=text)).where("removed")
+    cut = found_passages(docs, doc_id, text).where("removed")
     cut = cut.groupBy("id", "version").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_cut")).withColumnsRenamed({"id": "_id", "version": "_version"})
     t = F.col(text).cast("string")
     both = docs.join(cut, (F.col(doc_id) == F.col("_id")) & (F.xxhash64(t) == F.col("_version")), "left")

@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tessera.llm import neardup as N
 
 from .helpers import EDGE, SF, lower_az, table
@@ -69,10 +71,10 @@ def test_prefix_join_is_exact_and_spares_templates(spark):
         base = set(sets[i % 7][1])
         out = rnd.sample(sorted(base), rnd.randrange(0, 18))
         sets.append((i, sorted((base - {*out}) | {4 * 10**6 + 100 * i + k for k in range(len(out) // 2)})))
-    rows = spark.createDataFrame([(i, i if i % 5 else 0, s) for i, s in sets], "id long, label long, set array<long>")
+    rows = spark.createDataFrame([(i, i if i % 5 else 0, s, s) for i, s in sets], "id long, label long, sig array<long>, set array<long>")
     close = {(a, b) for a, s in sets for b, t in sets if a < b and (a if a % 5 else 0) != (b if b % 5 else 0) and 100 * len({*s} & {*t}) >= 75 * len({*s} | {*t})}
     for block in (3, 512):
-        got = {(r.a, r.b) for r in N.prefix_pairs(rows, 75, block).collect()}
+        got = {(r.a, r.b) for r in N.prefix_pairs(rows, 75, block, lambda x, y: F.size(x) > 0).collect()}
         assert close <= got and len(close) > 50 and len(got) < 3 * len(close)
         assert not any(a < 300 and 7 <= a and b < 300 for a, b in got)
 
