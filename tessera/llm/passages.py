@@ -5,8 +5,9 @@ Windows, for exact copies wherever in its line the passage stands: ``LENGTH`` wo
 position whose 5-word shingle hash is the least of ``SPREAD`` consecutive ones, and at both ends of the text. Two texts that
 share ``LENGTH + SPREAD - 1`` (47) words in a row share a window.
 
+0. A document whose whole text an earlier one has is a copy: all of its text is one passage, and it takes no further part.
 1. Count the anchors (the shingles at which windows start) over all documents; a window whose anchor is in one
-   document only can't repeat. Only anchors and positions are shuffled.
+   document only has no exact copy. Only anchors and positions are shuffled.
 2. The documents with repeated anchors make the windows there; natural paragraphs are made of all documents. Equal shingle
    sets are one class. Natural ones go on if their class is in two documents or shares a band with another class.
 3. Each class has 8 bands of 4 minima: a pair of similarity 0.75 collides with probability 0.95, one of 0.85 with 0.998.
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernel as K
 from .neardup import BROADCAST_IDS, link
-from .store import in_scratch, materialize, small_batches
+from .store import drop, in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
 LENGTH, SPREAD = 24, 24
@@ -100,7 +101,8 @@ def _anchor_rows(rows: DataFrame, with_place: bool) -> DataFrame:
 def paragraphs(rows: DataFrame) -> DataFrame:
     """(id, version, start, end, key, set) of the paragraphs at word positions ``places`` of rows (id, version, places, text).
 
-    Offsets are in characters; ``set`` has the shingles as 32-bit hashes, and is null where this batch has shown it before.
+    Offsets are in characters; ``key`` is that of the shingles with their multiplicities; ``set`` has them as 32-bit hashes, and is
+    null where this batch has shown it before.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,10 +113,8 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 doc = np.repeat(np.arange(b.num_rows), np.diff(places.offsets.to_numpy()))
                 at = places.flatten().to_numpy().astype(np.int64) + w.first[doc]
                 h, _ = w.shingles(SHINGLE)
-                sets = np.sort(h[at[:, None] + np.arange(LENGTH - SHINGLE + 1)], axis=1)
-                mixed = K.mix(sets)
-                mixed[:, 1:][sets[:, 1:] == sets[:, :-1]] = 0
-                key = K.mix(mixed.sum(axis=1, dtype=np.uint64)).view(np.int64)
+                sets = h[at[:, None] + np.arange(LENGTH - SHINGLE + 1)]
+                key = K.mix(K.mix(sets).sum(axis=1, dtype=np.uint64)).view(np.int64)
                 chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
                 begin = chars[offsets[doc]]
                 start, end = chars[w.starts[at]] - begin, chars[w.ends[at + LENGTH - 1]] - begin
@@ -155,14 +155,11 @@ def natural(w: K.Words, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
 
 
 def natural_sets(w: K.Words, at: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct shingles end to end as 32-bit hashes, where each paragraph's begin, keys of the sets)."""
+    """(shingles end to end as 32-bit hashes, where each paragraph's begin, keys of the shingles with their multiplicities)."""
     h, _ = w.shingles(SHINGLE)
     k = count - SHINGLE + 1
-    which = np.repeat(np.arange(len(at)), k)
-    flat = h[np.arange(len(which)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(at, k)]
-    both = np.unique(which.astype(np.uint64) << np.uint64(32) | flat >> np.uint64(32))
-    begins = np.searchsorted(both >> np.uint64(32), np.arange(len(at), dtype=np.uint64))
-    short = both & np.uint64(0xFFFFFFFF)
+    begins = np.cumsum(k) - k
+    short = h[np.arange(int(k.sum())) + np.repeat(at - begins, k)] >> np.uint64(32)
     return short, begins, K.mix(np.add.reduceat(K.mix(short ^ _NATURAL), begins)).view(np.int64)
 
 
@@ -247,8 +244,9 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull() & t.isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
 
 
-def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The natural paragraphs of rows (id, version, text), and (id, lo, hi, sig, bands) of their classes that can be in a cluster."""
+def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The natural paragraphs of rows (id, version, text), (id, lo, hi, sig, bands) of their classes that can be in a cluster, and the
+    tables that these read."""
     lines = materialize(natural_paragraphs(rows), "passages-lines")
     classes = materialize(lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bands").alias("bands")), "passages-line-classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "key").repartition("bucket")  # one exchange for the groups and the join
@@ -261,35 +259,67 @@ def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.join(F.broadcast(shown.select("id").distinct()), "id", "left_semi")
     sets = sets_of(rows.join(shown, ["id", "version"])).groupBy("key").agg(F.first("set").alias("sig"))
     one = classes.where("lo < hi").join(near, "key", "left_anti").select(F.col("key").alias("id"), "lo", "hi", F.lit(None).cast("array<int>").alias("sig"), F.array().cast("array<bigint>").alias("bands"))
-    return lines, one.unionByName(classes.join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands"))
+    return lines, one.unionByName(classes.join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands")), [classes, near, shown]
 
 
-def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more; rows of equal
-    id and text give theirs each."""
+def copies_of_texts(rows: DataFrame) -> DataFrame:
+    """(id, version, size, first) of each row (id, version, text) that has the text of a row of a smaller id, ``first``, and ``LENGTH`` words or more.
+
+    Texts are told apart by checksum and length. Only ids and these two are moved, and what is gathered of a text is combined
+    before the shuffle; copies find their text's first by a broadcast or a join of such rows.
+    """
+    key = F.struct("version", F.length("text").cast("long").alias("size")).alias("k")
+    several = rows.select("id", key).groupBy("k").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k", "first")
+    several = materialize(several, "passages-texts")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"([0-9A-Za-z\x{80}-\x{10FFFF}]+)"), F.lit(1)))
+    if several.count() <= BROADCAST_IDS:  # then only texts that come again are looked at
+        out = rows.select("id", key, "text").join(F.broadcast(several), "k").where("id > first").where(words >= LENGTH)
+    else:
+        out = rows.where(words >= LENGTH).select("id", key).join(several, "k").where("id > first")
+    return materialize(out.select("id", "k.version", "k.size", "first").distinct(), "passages-copies")
+
+
+def _firsts(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """The rows that are no copies; texts stay in place unless the copies are too many to broadcast."""
+    gone = copies.select("id", "version")
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, ["id", "version"], "left_anti").select("id", "version", "text")
+
+
+def repeated_paragraphs(docs: DataFrame, copies: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, version, start, end, cluster, keeper): each paragraph of a cluster that lies in two documents or more, ``copies`` left out;
+    rows of equal id and text give theirs each."""
     small_batches(docs.sparkSession)
-    rows = rows_all = _rows(docs, doc_id, text)
+    rows = rows_all = _firsts(_rows(docs, doc_id, text), copies)
     seen = _anchor_rows(rows.select("id", "text"), False).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
     seen = materialize(seen, "passages-anchors")  # both sides of the join below are plain, so a frequent anchor is split over tasks
     places = _anchor_rows(rows, True).join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places"))
     places = materialize(places, "passages-places")
+    drop(seen)
     if places.count() <= BROADCAST_IDS:  # else every text is shuffled to find the ones that have places
         rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
     found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
+    drop(places)
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
-    lines, line_classes = _natural_classes(rows_all)
+    lines, line_classes, used = _natural_classes(rows_all)
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
+    for table in used:
+        drop(table)
     linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
-    keys = named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster")
+    keys = materialize(named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster"), "passages-keys")
+    drop(classes)
     spans = found.select("id", "version", "start", "end", "key").union(lines.select("id", "version", "start", "end", "key"))
     return spans.join(keys, "key").select("id", "version", "start", "end", "cluster", "keeper")
 
 
 @in_scratch("passages-result")
 def found_passages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return passages(repeated_paragraphs(docs, doc_id=doc_id, text=text))
+    copies = copies_of_texts(_rows(docs, doc_id, text))
+    parts = passages(repeated_paragraphs(docs, copies, doc_id=doc_id, text=text))
+    whole = copies.select("id", "version", F.lit(True).alias("removed"), F.lit(0).cast("long").alias("start"), F.col("size").alias("end"), F.col("first").alias("kept_in"), F.col("version").alias("cluster"))
+    kept = copies.groupBy("first", "version", "size").agg(F.lit(False).alias("removed")).select(F.col("first").alias("id"), "version", "removed", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"), F.col("first").alias("kept_in"), F.col("version").alias("cluster"))
+    return parts.unionByName(whole).unionByName(kept)
 
 
 def passages(paragraph_rows: DataFrame) -> DataFrame:

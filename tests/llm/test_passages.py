@@ -90,3 +90,46 @@ def test_near_copies_of_natural_paragraphs(spark):
     assert len(whole) >= 54  # of 60: bands find a pair of similarity 0.75 with probability 0.95
     left = {r.doc_id: r.text for r in P.remove_passages(docs).collect()}
     assert all((first[i] in left[i]) == (i < 200) for i in whole)
+
+
+def similarity(a, b):
+    s, t = windows(a, 5), windows(b, 5)
+    return len(s & t) / max(1, len(s | t))
+
+
+def test_recall_of_natural_paragraphs_against_all_pairs(spark):
+    """Words of paragraphs of similarity 0.75 and more to one of an earlier document: at least nine in ten are found, others never."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(4, 9)))
+    paragraphs, n = [], 0
+    for _ in range(40):
+        size = rnd.choice([40, 60, 120, 200])
+        base = [word() for _ in range(size)]
+        for step in (None, 28, 34, 40, 60, 12):
+            copy = [word() if step and i % step == step // 2 else w for i, w in enumerate(base)]
+            paragraphs.append((n := n + 1, " ".join(copy)))
+    rnd.shuffle(paragraphs)
+    rows = [(i, f"{word()} {word()}.\n\n{p}\n\n{' '.join(word() for _ in range(30))}") for i, p in paragraphs]
+    by, text = dict(paragraphs), dict(rows)
+    ids = sorted(by)
+    like = {(a, b): similarity(by[a], by[b]) for a in ids for b in ids if a < b and abs(a - b) < 6}
+    want = {b for (a, b), s in like.items() if s >= 0.75}
+    got = [r for r in P.repeated_passages(table(spark, rows)).collect() if r.removed]
+    words_of = lambda t: len(WORD.findall(lower_az(t)))
+    hit = {}
+    for r in got:
+        begin = text[r.doc_id].index(by[r.doc_id])
+        inside = text[r.doc_id][max(begin, r.start) : min(begin + len(by[r.doc_id]), r.end)]
+        hit[r.doc_id] = hit.get(r.doc_id, 0) + words_of(inside)
+        assert begin <= r.start + 1 and r.end <= begin + len(by[r.doc_id]) + 1
+    total = sum(words_of(by[i]) for i in want)
+    found = sum(min(hit.get(i, 0), words_of(by[i])) for i in want)
+    print("words of near copies found", found / total, "of", len(want))
+    assert len(want) > 60 and found >= 0.9 * total
+    assert all(any(windows(by[r.doc_id], 20) & windows(by[a], 20) or similarity(by[a], by[r.doc_id]) >= 0.75 for a in ids if a != r.doc_id and abs(a - r.doc_id) < 6) for r in got)
+
+
+def test_copies_of_whole_texts(spark):
+    t = " ".join(f"w{i * 37 % 1009}" for i in range(60))
+    got = {(r.doc_id, r.removed, r.start, r.end, r.kept_in) for r in P.repeated_passages(table(spark, [(3, t), (5, t), (4, t), (4, t), (9, "few words"), (8, "few words"), (None, t)])).collect()}
+    assert got == {(3, False, 0, len(t), 3), (4, True, 0, len(t), 3), (5, True, 0, len(t), 3)}
