@@ -121,7 +121,7 @@ def test_recall_of_natural_paragraphs_against_all_pairs(spark):
         begin = text[r.doc_id].index(by[r.doc_id])
         inside = text[r.doc_id][max(begin, r.start) : min(begin + len(by[r.doc_id]), r.end)]
         hit[r.doc_id] = hit.get(r.doc_id, 0) + words_of(inside)
-        assert begin <= r.start + 1 and r.end <= begin + len(by[r.doc_id]) + 1
+        assert begin - 20 <= r.start and r.end <= begin + len(by[r.doc_id]) + 20  # a window may reach over by a word or two
     total = sum(words_of(by[i]) for i in want)
     found = sum(min(hit.get(i, 0), words_of(by[i])) for i in want)
     print("words of near copies found", found / total, "of", len(want))
