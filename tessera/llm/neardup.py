@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .components import components, join_groups
-from .store import drop, in_scratch, materialize, small_batches
+from .store import drop, free_shuffles, in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS, BITS = 32, 4, 2
@@ -189,6 +189,7 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     top = materialize(top, "link-top")
     linked = linked_by(join_groups(members, top, "bucket", total).where(F.col("label") != F.col("most")).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), linked)
 
+    free_shuffles(classes.sparkSession)
     named = materialize(labelled(members.select("bucket", "id"), linked), "link-labelled")
     drop(members)
     left = still_open(named, total)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import kernel as K
 from .neardup import BROADCAST_IDS, link
-from .store import drop, in_scratch, materialize, small_batches
+from .store import drop, free_shuffles, in_scratch, materialize, small_batches
 
 SHINGLE, PERCENT = 5, 75
 LENGTH, SPREAD = 24, 24
@@ -295,6 +295,7 @@ def repeated_paragraphs(docs: DataFrame, copies: DataFrame, *, doc_id: str = "do
     places = _anchor_rows(rows, True).join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places"))
     places = materialize(places, "passages-places")
     drop(seen)
+    free_shuffles(docs.sparkSession)
     if places.count() <= BROADCAST_IDS:  # else every text is shuffled to find the ones that have places
         rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
     found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
@@ -304,9 +305,12 @@ def repeated_paragraphs(docs: DataFrame, copies: DataFrame, *, doc_id: str = "do
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
     for table in used:
         drop(table)
+    del used, line_classes
+    free_shuffles(docs.sparkSession)
     linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
+    free_shuffles(docs.sparkSession)
     keys = materialize(named.select(F.col("id").alias("key"), "cluster").join(wide, "cluster"), "passages-keys")
     drop(classes)
     spans = found.select("id", "version", "start", "end", "key").union(lines.select("id", "version", "start", "end", "key"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -79,6 +80,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of plans that nothing refers to any more: it only learns of them by the driver's garbage
+    collection, which may be long in coming while executors' disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Removes what ``materialize`` wrote for this frame, when nothing reads it any more."""
     for f in {f.rpartition("/")[0] for f in df.inputFiles()[:1]}:
