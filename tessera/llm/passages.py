@@ -38,6 +38,7 @@ _rng = np.random.Generator(np.random.PCG64(7))
 _MUL = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _PLACE_BITS = 26
+_BAND = [f"b{i}" for i in range(BANDS)]
 #: Keeps the classes and bands of natural paragraphs apart from those of windows.
 _NATURAL = np.uint64(0x6A09E667F3BCC909)
 
@@ -80,21 +81,50 @@ def _words(b: pa.RecordBatch) -> tuple[K.Words, np.ndarray]:
     return K.Words(data, offsets), offsets
 
 
-def _anchor_rows(rows: DataFrame, with_place: bool) -> DataFrame:
+def _lists(doc: np.ndarray, n: int, values: np.ndarray) -> pa.ListArray:
+    """One list for each of n documents of the values, whose documents ``doc`` names in order."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32)), pa.array(values))
+
+
+def outlines(rows: DataFrame) -> DataFrame:
+    """For each row (id, version, text): ``anchor`` and ``at`` (word position) of its windows; ``start`` and ``end`` (characters), ``key`` and
+    band hashes ``b0`` to ``b7`` of its natural paragraphs, as lists side by side."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in K.slices(whole, "text"):
-                w, _ = _words(b)
+                w, offsets = _words(b)
                 at, h = anchors(w)
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                cols, names = [pa.array(h.view(np.int64)), b.column(0).take(pa.array(doc))], ["anchor", "id"]
-                if with_place:
-                    cols += [b.column(1).take(pa.array(doc)), pa.array((at - w.first[doc]).astype(np.int32))]
-                    names += ["version", "at"]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                cols = [b.column(0), b.column(1), _lists(doc, b.num_rows, h.view(np.int64)), _lists(doc, b.num_rows, (at - w.first[doc]).astype(np.int32))]
+                at, count = natural(w)
+                order = np.argsort(at, kind="stable")
+                at, count = at[order], count[order]
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                start = end = key = np.zeros(0, np.int64)
+                bands = np.zeros((0, BANDS), np.int64)
+                if len(at):
+                    short, begins, key = natural_sets(w, at, count)
+                    bands = _bands(lambda m, a, x=_halves(short), begins=begins: np.minimum.reduceat(x * m + a, begins), len(at), _NATURAL)
+                    start, end = _characters(w, offsets, doc, at, count)
+                cols += [_lists(doc, b.num_rows, x) for x in (start, end, key, *bands.T)]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "version", "anchor", "at", "start", "end", "key", *_BAND])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"anchor long, id {kind}" + (", version long, at int" if with_place else ""))
+    lists = ", ".join(f"{c} array<long>" for c in ("start", "end", "key", *_BAND))
+    return rows.select("id", "version", "text").mapInArrow(run, f"id {kind}, version long, anchor array<long>, at array<int>, {lists}")
+
+
+def _characters(w: K.Words, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, count: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Character offsets in their documents of the runs of ``count`` words at the positions ``at``."""
+    chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    begin = chars[offsets[doc]]
+    return chars[w.starts[at]] - begin, chars[w.ends[at + count - 1]] - begin
+
+
+def _listed(outline: DataFrame, *names: str) -> DataFrame:
+    """One row for each entry of the lists side by side, with its id and version."""
+    return outline.select("id", "version", F.inline(F.arrays_zip(*names)))
 
 
 def paragraphs(rows: DataFrame) -> DataFrame:
@@ -114,9 +144,7 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 h, _ = w.shingles(SHINGLE)
                 sets = h[at[:, None] + np.arange(LENGTH - SHINGLE + 1)]
                 key = K.mix(K.mix(sets).sum(axis=1, dtype=np.uint64)).view(np.int64)
-                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                begin = chars[offsets[doc]]
-                start, end = chars[w.starts[at]] - begin, chars[w.ends[at + LENGTH - 1]] - begin
+                start, end = _characters(w, offsets, doc, at, LENGTH)
                 new = np.zeros(len(key), bool)
                 new[np.unique(key, return_index=True)[1]] = True
                 short = (sets >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -162,28 +190,6 @@ def natural_sets(w: K.Words, at: np.ndarray, count: np.ndarray) -> tuple[np.ndar
     return short, begins, K.mix(np.add.reduceat(K.mix(short ^ _NATURAL), begins)).view(np.int64)
 
 
-def natural_paragraphs(rows: DataFrame) -> DataFrame:
-    """(id, version, start, end, key, bands) of the natural paragraphs of rows (id, version, text); offsets in characters."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in K.slices(whole, "text"):
-                w, offsets = _words(b)
-                at, count = natural(w)
-                if not len(at):
-                    continue
-                doc = np.searchsorted(w.first, at, side="right") - 1
-                short, begins, key = natural_sets(w, at, count)
-                bands = _bands(lambda m, a, x=_halves(short), begins=begins: np.minimum.reduceat(x * m + a, begins), len(at), _NATURAL)
-                chars = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
-                begin = chars[offsets[doc]]
-                start, end = chars[w.starts[at]] - begin, chars[w.ends[at + count - 1]] - begin
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end), pa.array(key), pa.array(list(bands), pa.list_(pa.int64()))], names=["id", "version", "start", "end", "key", "bands"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.select("id", "version", "text").mapInArrow(run, f"id {kind}, version long, start long, end long, key long, bands array<long>")
-
-
 def sets_of(rows: DataFrame) -> DataFrame:
     """(key, set) of the natural paragraphs named by ``keys`` in rows (keys, text), once for each batch."""
 
@@ -243,22 +249,36 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.where(F.col(doc_id).isNotNull() & t.isNotNull()).select(F.col(doc_id).alias("id"), F.xxhash64(t).alias("version"), t.alias("text"))
 
 
-def _natural_classes(rows: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """The natural paragraphs of rows (id, version, text), (id, lo, hi, sig, bands) of their classes that can be in a cluster, and the
-    tables that these read."""
-    lines = materialize(natural_paragraphs(rows), "passages-lines")
-    classes = materialize(lines.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("bands").alias("bands")), "passages-line-classes")
+def _places(outline: DataFrame) -> DataFrame:
+    """(id, version, places) of the documents that have anchors which another document has too."""
+    seen = _listed(outline, "anchor").groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
+    seen = materialize(seen, "passages-anchors")  # both sides of the join below are plain, so a frequent anchor is split over tasks
+    places = materialize(_listed(outline, "anchor", "at").join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places")), "passages-places")
+    drop(seen)
+    return places
+
+
+def _natural_classes(rows: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The natural paragraphs of rows (id, version, text) that can be in a cluster, the classes (id, lo, hi, sig, bands) of these, and the
+    tables that the classes read. ``outline`` is removed."""
+    # Bands in columns of their own, since arrays would make the grouping sort its rows.
+    classes = _listed(outline, "key", *_BAND).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *[F.first(c).alias(c) for c in _BAND])
+    classes = materialize(classes.select("key", "lo", "hi", F.array(*_BAND).alias("bands")), "passages-line-classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "key").repartition("bucket")  # one exchange for the groups and the join
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("bucket")
-    near = materialize(buckets.join(shared, "bucket", "left_semi").select("key").distinct(), "passages-line-near")
+    near = buckets.join(shared, "bucket", "left_semi").select("key").distinct().withColumn("near", F.lit(True))
+    able = materialize(classes.join(near, "key", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near or lo < hi"), "passages-line-able")
+    drop(classes)
+    lines = materialize(_listed(outline, "start", "end", "key").join(able.select("key", "near"), "key"), "passages-lines")
+    drop(outline)
     # One document shows the set of each class; a class that shares no band needs none.
-    shown = lines.join(near, "key", "left_semi").groupBy("key").agg(F.min(F.struct("id", "version")).alias("d")).groupBy("d.id", "d.version").agg(F.collect_list("key").alias("keys"))
+    shown = lines.where("near").groupBy("key").agg(F.min(F.struct("id", "version")).alias("d")).groupBy("d.id", "d.version").agg(F.collect_list("key").alias("keys"))
     shown = materialize(shown, "passages-line-shown")
     if shown.count() <= BROADCAST_IDS:
         rows = rows.join(F.broadcast(shown.select("id").distinct()), "id", "left_semi")
     sets = sets_of(rows.join(shown, ["id", "version"])).groupBy("key").agg(F.first("set").alias("sig"))
-    one = classes.where("lo < hi").join(near, "key", "left_anti").select(F.col("key").alias("id"), "lo", "hi", F.lit(None).cast("array<int>").alias("sig"), F.array().cast("array<bigint>").alias("bands"))
-    return lines, one.unionByName(classes.join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands")), [classes, near, shown]
+    one = able.where("not near").select(F.col("key").alias("id"), "lo", "hi", F.lit(None).cast("array<int>").alias("sig"), F.array().cast("array<bigint>").alias("bands"))
+    return lines, one.unionByName(able.where("near").join(sets, "key").select(F.col("key").alias("id"), "lo", "hi", "sig", "bands")), [able, shown]
 
 
 def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -266,22 +286,19 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     id and text give theirs each."""
     small_batches(docs.sparkSession)
     rows = rows_all = _rows(docs, doc_id, text)
-    seen = _anchor_rows(rows.select("id", "text"), False).groupBy("anchor").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("anchor")
-    seen = materialize(seen, "passages-anchors")  # both sides of the join below are plain, so a frequent anchor is split over tasks
-    places = _anchor_rows(rows, True).join(seen, "anchor", "left_semi").groupBy("id", "version").agg(F.collect_set("at").alias("places"))
-    places = materialize(places, "passages-places")
-    drop(seen)
+    outline = materialize(outlines(rows), "passages-outlines")
+    places = _places(outline)
     free_shuffles(docs.sparkSession)
     if places.count() <= BROADCAST_IDS:  # else every text is shuffled to find the ones that have places
         rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
     found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
     drop(places)
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
-    lines, line_classes, used = _natural_classes(rows_all)
+    lines, line_classes, used = _natural_classes(rows_all, outline)
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
     for table in used:
         drop(table)
-    del used, line_classes
+    del used, line_classes, outline
     free_shuffles(docs.sparkSession)
     linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
