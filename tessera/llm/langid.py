@@ -90,17 +90,18 @@ class Model:
         return (normalized(p) @ self.landmarks.T) @ self.weights + self.bias
 
 
-def fit(p: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = 0.1) -> Model:
+def fit(p: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = 0.1, packed: bool = False) -> Model:
+    """``p`` has presence rows, ``packed`` with eight to a byte; only ``_ROWS`` of them at a time are made floats, as this runs on the driver."""
     names = sorted(set(languages))
     y = np.array([names.index(x) for x in languages])
     each = max(1, landmarks // len(names))
     marks = np.concatenate([np.flatnonzero(y == k)[:each] for k in range(len(names))])
-    x = normalized(p)
-    q = x[marks]
+    rows = lambda at: normalized(np.unpackbits(p[at], axis=1) if packed else p[at])
+    q = rows(marks)
     values, vectors = np.linalg.eigh((q @ q.T).astype(np.float64))
     keep = values > values[-1] * 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
-    phi = (x @ q.T).astype(np.float64) @ root
+    phi = np.concatenate([rows(slice(at, at + _ROWS)) @ q.T for at in range(0, len(p), _ROWS)]).astype(np.float64) @ root
     target = np.where(y[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = 1 / np.bincount(y, minlength=len(names))[y]  # every language weighs the same
     share /= share.mean()
@@ -134,8 +135,8 @@ def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     got = sorted((r.lang, r.id, bytes(r.bits)) for r in chosen.mapInArrow(run, "id string, lang string, bits binary").collect())
     if not got:
         return None
-    p = np.unpackbits(np.frombuffer(b"".join(g[2] for g in got), np.uint8).reshape(len(got), -1), axis=1)
-    return fit(p, [g[0] for g in got], landmarks)
+    p = np.frombuffer(b"".join(g[2] for g in got), np.uint8).reshape(len(got), -1)
+    return fit(p, [g[0] for g in got], landmarks, packed=True)
 
 
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None, sharpness: float = 4.0) -> DataFrame:
