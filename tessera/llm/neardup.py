@@ -140,13 +140,14 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> Da
     return both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb") - inter).alias("u")).where(F.col("i") * 100 >= F.col("u") * percent).select("a", "b").distinct()
 
 
-def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame] | None = None, percent: int = PERCENT, block: int = BLOCK, first_bands: int = FIRST_BANDS) -> DataFrame:
+def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame], DataFrame] | None = None, percent: int = PERCENT, block: int = BLOCK, first_bands: int = FIRST_BANDS, sketched: bool = False) -> DataFrame:
     """(node, component) over classes (id, bands, sig) that share a band and are close.
 
     ``close`` judges two ``sig`` columns by name; ``confirm`` keeps the pairs (a, b) that a fuller look agrees to; ``sets``
     gives (id, sig, set) of a frame of ids. Three rounds, the later ones over buckets that those before left in several
     components: stars around the smallest id in the first bands; in all bands, stars around the bucket's largest component;
-    an exact join of the sets by their prefixes.
+    an exact join of the sets by their prefixes. ``sketched`` says that ``sig`` is the set itself: that join then carries 128 bits of
+    each set, which rule out only pairs that can't be close, and what is left is judged by ``close``.
     """
     sigs = classes.select("id", "sig")
     n_classes = classes.count()
@@ -198,15 +199,43 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
     drop(left)
     if apart.isEmpty():
         return linked
-    mine = materialize(sets(apart.select("id")).join(apart, "id"), "link-sets")
-    return settled(prefix_pairs(mine, percent, block, close), linked)
+    if not sketched:
+        mine = materialize(sets(apart.select("id")).join(apart, "id"), "link-sets")
+        return settled(prefix_pairs(mine, percent, block, close), linked)
+    mine = sets(apart.select("id")).join(apart, "id").select("id", "label", F.array_distinct("set").alias("set"))
+    mine = materialize(mine.withColumn("sig", sketch("set")), "link-sets")
+    drop(apart)
+    free_shuffles(classes.sparkSession)
+    pairs = materialize(prefix_pairs(mine, percent, block, lambda a, b: may_reach(a, b, percent), cut=True), "link-candidates")
+    free_shuffles(classes.sparkSession)
+    both = pairs.join(mine.select(F.col("id").alias("b"), F.col("set").alias("gb")), "b").join(mine.select(F.col("id").alias("a"), F.col("set").alias("ga")), "a")
+    return settled(both.where(close("ga", "gb")).select("a", "b"), linked)
+
+
+def sketch(elements: str) -> Column:
+    """128 bits of a set of hashes: the parity of the number of elements at each place. Two sketches differ in no more bits than the sets in elements."""
+
+    def half(k: int) -> Column:
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))
+        mine = lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1)) == k
+        return F.aggregate(elements, F.lit(0).cast("long"), lambda s, x: F.when(mine(x), s.bitwiseXOR(bit(x))).otherwise(s))
+
+    return F.array(half(0), half(1))
+
+
+def may_reach(a: str, b: str, percent: int) -> Column:
+    """Whether the sets (of ``na`` and ``nb`` elements) of two sketches can have the similarity."""
+    apart = sum(F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in (0, 1))
+    n = F.col("na") + F.col("nb")
+    return apart <= n - 2 * n * percent / (100 + percent) + 1e-6
 
 
-def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str, str], Column]) -> DataFrame:
+def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str, str], Column], cut: bool = False) -> DataFrame:
     """Pairs (a < b) of rows (id, label, sig, set) of different labels that are close, among them all whose sets have the similarity.
 
     A set of n elements has a partner only if the two share one of its n - ceil(n * percent / 100) + 1 rarest elements. A frequent
-    element's rows are compared in blocks of about ``block`` by ``block``, so no task gets all of them.
+    element's rows are compared in blocks of about ``block`` by ``block``, so no task gets all of them. ``cut`` makes a table of the
+    prefixes, so that the shuffle files that led to them can go before the join.
     """
     s = sets.where(F.size("set") > 0).select("id", "label", "sig", F.array_distinct("set").alias("set")).withColumn("n", F.size("set"))
     one = s.select("id", F.explode("set").alias("x"))
@@ -216,7 +245,12 @@ def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str
     # Elements of one set only come first in its order: they take places of the prefix but have no partner.
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "sig", "n"), "id")
     ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
-    rows = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.posexplode(F.slice("common", F.lit(1), F.col("keep").cast("int"))).alias("p", "e"))
+    ranked = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.slice("common", F.lit(1), F.col("keep").cast("int")).alias("prefix"))
+    if cut:
+        ranked = materialize(ranked, "link-prefixes")
+        drop(seen)
+        free_shuffles(sets.sparkSession)
+    rows = ranked.select("id", "label", "sig", "n", "_alone", F.posexplode("prefix").alias("p", "e"))
     rows = rows.select(F.col("e.x").alias("x"), F.ceil(F.col("e.f") / block).cast("int").alias("nb"), "id", "label", "sig", "n", (F.col("p") + F.col("_alone")).alias("at"))
     rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     a = rows.select("x", F.col("k").alias("i"), F.explode(F.sequence("k", F.col("nb") - 1)).alias("j"), F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("sig").alias("ga"))

@@ -264,11 +264,13 @@ def _natural_classes(rows: DataFrame, outline: DataFrame) -> tuple[DataFrame, Da
     # Bands in columns of their own, since arrays would make the grouping sort its rows.
     classes = _listed(outline, "key", *_BAND).groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), *[F.first(c).alias(c) for c in _BAND])
     classes = materialize(classes.select("key", "lo", "hi", F.array(*_BAND).alias("bands")), "passages-line-classes")
+    free_shuffles(rows.sparkSession)
     buckets = classes.select(F.explode("bands").alias("bucket"), "key").repartition("bucket")  # one exchange for the groups and the join
     shared = buckets.groupBy("bucket").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("bucket")
     near = buckets.join(shared, "bucket", "left_semi").select("key").distinct().withColumn("near", F.lit(True))
     able = materialize(classes.join(near, "key", "left").withColumn("near", F.coalesce("near", F.lit(False))).where("near or lo < hi"), "passages-line-able")
     drop(classes)
+    free_shuffles(rows.sparkSession)
     lines = materialize(_listed(outline, "start", "end", "key").join(able.select("key", "near"), "key"), "passages-lines")
     drop(outline)
     # One document shows the set of each class; a class that shares no band needs none.
@@ -293,6 +295,7 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         rows = rows.join(F.broadcast(places.select("id").distinct()), "id", "left_semi")
     found = materialize(paragraphs(rows.join(places, ["id", "version"])), "passages-paragraphs")
     drop(places)
+    free_shuffles(docs.sparkSession)
     classes = found.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.first("set", ignorenulls=True).alias("sig"))
     lines, line_classes, used = _natural_classes(rows_all, outline)
     classes = materialize(banded(classes.withColumnRenamed("key", "id")).unionByName(line_classes), "passages-classes")
@@ -300,7 +303,7 @@ def repeated_paragraphs(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
         drop(table)
     del used, line_classes, outline
     free_shuffles(docs.sparkSession)
-    linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT)
+    linked = link(classes.select("id", "bands", "sig"), close, lambda ids: classes.join(ids, "id").select("id", "sig", F.col("sig").alias("set")), percent=PERCENT, sketched=True)
     named = classes.select("id", "lo", "hi").join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     wide = named.groupBy("cluster").agg(F.min("lo").alias("keeper"), F.max("hi").alias("hi")).where("keeper < hi").select("cluster", "keeper")
     free_shuffles(docs.sparkSession)
