@@ -245,7 +245,8 @@ def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str
     # Elements of one set only come first in its order: they take places of the prefix but have no partner.
     ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "sig", "n"), "id")
     ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
-    ranked = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.slice("common", F.lit(1), F.col("keep").cast("int")).alias("prefix"))
+    # The optimizer also asks whether the prefix is empty, and may do so before it drops the sets that keep nothing: no length below 0.
+    ranked = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.slice("common", F.lit(1), F.greatest(F.col("keep"), F.lit(0)).cast("int")).alias("prefix"))
     if cut:
         ranked = materialize(ranked, "link-prefixes")
         drop(seen)

@@ -79,6 +79,14 @@ def test_prefix_join_is_exact_and_spares_templates(spark):
         assert not any(a < 300 and 7 <= a and b < 300 for a, b in got)
 
 
+def test_prefix_join_passes_over_sets_with_few_shared_elements(spark):
+    rows = [(i, [7, 8, 9, *(100 * i + k for k in range(40))]) for i in range(10)] + [(i, [7, 8, 9]) for i in range(10, 14)]
+    sets = spark.createDataFrame([(i, i, [0], s) for i, s in rows], "id long, label long, sig array<long>, set array<long>")
+    want = {(a, b) for a in range(10, 14) for b in range(a + 1, 14)}
+    for cut in (False, True):
+        assert {(r.a, r.b) for r in N.prefix_pairs(sets, 75, 512, lambda x, y: F.size(x) > 0, cut=cut).collect()} == want
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     assert rows_of(N.query(spark, SF)) == brute(docs)
