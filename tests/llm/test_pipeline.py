@@ -1,3 +1,5 @@
+import random
+
 import corpus_pipeline as P
 
 from . import test_bpe_codec as bpe, test_decontaminate as dec, test_neardup as near, test_passages as pas
@@ -53,3 +55,14 @@ def test_edges(spark):
     assert P.language(spark, docs, SF).count() == 0  # nothing to learn from, so nothing is recognised
     for _, stage in P.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_near_copies_that_stars_leave_apart(spark):
+    rnd, base, rows = random.Random(1), [f"b{i}" for i in range(100)], []
+    for k in range(60):  # every other one is a part of the text with words of its own, most of whose shingles no other has
+        w = list(base)
+        w[rnd.randrange(100)] = f"q{k}"
+        rows.append((k, " ".join(w[: rnd.randrange(28, 50)] + [f"t{k}x{i}" for i in range(rnd.randrange(10, 40))] if k % 2 else w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0] for r in near.brute(rows) if r[3]}
+    assert sorted(pairs(P.near_duplicates(spark, docs, SF))) == [(d, t) for d, t in rows if d in kept]
