@@ -140,7 +140,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id",
     ``spans`` are the hit word ranges as [first word, words] pairs, flattened. See the module for method and edge cases.
     """
     small_batches(docs.sparkSession)
-    wins = materialize(item_windows(items, item_id, item_text, window), "decontaminate-windows")
+    size = items.agg(F.sum(F.octet_length(F.col(item_text).cast("string")) + 64)).first()[0] or 0
+    # A word or more each window: a table of few windows is few files, however many partitions a shuffle has.
+    wins = materialize(item_windows(items, item_id, item_text, window).coalesce(max(1, -(-size * window // block_bytes))), "decontaminate-windows")
     total = wins.agg(F.sum(F.length("phrase") + F.length("item") + 64)).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))

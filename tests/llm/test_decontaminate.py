@@ -67,3 +67,29 @@ def test_query_against_brute_force(spark):
     want = [(d, n, h, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), h > 0) for d, n, h, i in brute(docs, items)]
     assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
     assert sum(r.contaminated for r in got)
+
+
+def test_few_windows_are_few_files(spark, monkeypatch):
+    files, write = {}, D.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        files[label] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(D, "materialize", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        items = [(i, " ".join(f"w{i}x{j}" for j in range(40))) for i in range(50)]
+        docs = [(1, items[7][1]), (2, "w1x1 w1x2 and no more")]
+        it = spark.createDataFrame(items, "item_id long, text string")
+        for block_bytes, most in ((32 << 20, 1), (60_000, 8)):
+            got = D.decontaminate(table(spark, docs), it, block_bytes=block_bytes).collect()
+            assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=str) == brute(docs, items)
+            assert 1 <= files["decontaminate-windows"] <= most
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
