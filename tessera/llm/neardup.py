@@ -161,11 +161,16 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
         pairs, raw = (confirm(pairs), pairs) if confirm else (pairs, None)
         if raw is not None:
             drop(raw)
-        if before is not None:
-            if pairs.isEmpty():
-                return before
-            pairs = pairs.union(before.select(F.col("node").alias("a"), F.col("component").alias("b")))
-        return components(pairs, "a", "b")
+        if before is None:
+            return components(pairs, "a", "b")
+        if pairs.isEmpty():
+            return before
+        # Components so far are nodes now, named by their smallest id, so that only what changes goes through the rounds.
+        of = lambda end: before.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        roots = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), "a", "b")
+        moved = before.join(roots.select(F.col("node").alias("component"), F.col("component").alias("root")), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        return materialize(moved.union(roots.join(before, "node", "left_anti").select("node", "component")), "link-linked")
 
     def labelled(members: DataFrame, linked: DataFrame) -> DataFrame:
         return members.join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -176,14 +181,20 @@ def link(classes: DataFrame, close: Callable[[str, str], Column], sets: Callable
         several = materialize(several, "link-several")
         return materialize(join_groups(members, several, "bucket", total), "link-open")
 
-    buckets = classes.select(F.explode(F.slice("bands", 1, first_bands)).alias("bucket"), "id")
-    pivots = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a < top").select("bucket", "a", "n")
-    pivots = materialize(pivots, "link-pivots")
-    linked = linked_by(join_groups(buckets, pivots, "bucket", n_classes * first_bands).where("id > a").select("a", F.col("id").alias("b")), None)
+    # Most buckets have one member and link nothing: those rows go first, once for all rounds.
+    buckets = classes.select(F.posexplode("bands").alias("band", "bucket"), "id")
+    crowded = buckets.groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("top"), F.count("*").alias("n")).where("a < top").select("bucket", "a", "n")
+    crowded = materialize(crowded, "link-crowded")
+    buckets = materialize(join_groups(buckets, crowded.select("bucket", "n"), "bucket", n_classes * BANDS), "link-buckets")
+    free_shuffles(classes.sparkSession)
+    first = buckets.where(F.col("band") < first_bands).select("bucket", "id")
+    linked = linked_by(join_groups(first, crowded, "bucket", n_classes * first_bands).where("id > a").select("a", F.col("id").alias("b")), None)
+    drop(crowded)
 
-    banded = materialize(labelled(classes.select("id", "bands"), linked), "link-labelled")
-    members = still_open(banded.select(F.explode("bands").alias("bucket"), "id", "label"), n_classes * BANDS)
-    drop(banded)
+    named = materialize(labelled(buckets.select("bucket", "id"), linked), "link-labelled")
+    drop(buckets)
+    members = still_open(named, n_classes * BANDS)
+    drop(named)
     total = members.count()
     groups = members.groupBy("bucket", "label").agg(F.count("*").alias("m"), F.min("id").alias("a"))
     top = groups.groupBy("bucket").agg(F.max(F.struct("m", "a", "label")).alias("top"), F.sum("m").alias("n")).select("bucket", "top.a", F.col("top.label").alias("most"), "n")
@@ -243,7 +254,8 @@ def prefix_pairs(sets: DataFrame, percent: int, block: int, close: Callable[[str
     seen = materialize(seen.select("x", "f", F.col("f").alias("n")), "link-shared")
     shared = join_groups(one, seen, "x", s.agg(F.sum("n")).first()[0] or 0)
     # Elements of one set only come first in its order: they take places of the prefix but have no partner.
-    ranked = shared.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "sig", "n"), "id")
+    # Rows go to their set first: gathered where they are, nearly each would be a list of its own.
+    ranked = shared.select("id", "f", "x").repartition("id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common")).join(s.select("id", "label", "sig", "n"), "id")
     ranked = ranked.withColumn("alone", F.col("n") - F.size("common")).withColumn("keep", F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - F.col("alone")).where("keep > 0")
     # The optimizer also asks whether the prefix is empty, and may do so before it drops the sets that keep nothing: no length below 0.
     ranked = ranked.select("id", "label", "sig", "n", F.col("alone").alias("_alone"), F.slice("common", F.lit(1), F.greatest(F.col("keep"), F.lit(0)).cast("int")).alias("prefix"))

@@ -147,8 +147,9 @@ def paragraphs(rows: DataFrame) -> DataFrame:
                 start, end = _characters(w, offsets, doc, at, LENGTH)
                 new = np.zeros(len(key), bool)
                 new[np.unique(key, return_index=True)[1]] = True
-                short = (sets >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                shown = pa.array([s if n else None for s, n in zip(short, new.tolist())], pa.list_(pa.int32()))
+                short = (sets[new] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                ends = np.concatenate([[0], np.cumsum(new) * short.shape[1]]).astype(np.int32)
+                shown = pa.ListArray.from_arrays(pa.array(ends), pa.array(short.ravel()), mask=pa.array(~new))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(start), pa.array(end), pa.array(key), shown], names=["id", "version", "start", "end", "key", "set"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -231,7 +232,8 @@ def banded(classes: DataFrame) -> DataFrame:
             sets = b.column(3).flatten().to_numpy().view(np.uint32).astype(np.uint64).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1), np.uint64)
             sets = _halves(sets)
             bands = _bands(lambda m, a, sets=sets: (sets * m + a).min(axis=1) if len(sets) else np.zeros(0, np.uint32), len(sets))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(bands), pa.list_(pa.int64()))], names=["id", "lo", "hi", "sig", "bands"])
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(len(bands) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns, listed], names=["id", "lo", "hi", "sig", "bands"])
 
     kind = classes.schema["lo"].dataType.simpleString()
     return classes.select("id", "lo", "hi", "sig").mapInArrow(run, f"id long, lo {kind}, hi {kind}, sig array<int>, bands array<long>")
