@@ -37,9 +37,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes the rows as Parquet to the shared folder and reads them again: cuts lineage, survives lost executors."""
+    """Writes the rows as Parquet to the shared folder and reads them again: cuts lineage, survives lost executors.
+
+    No _SUCCESS file: nothing reads it, and on a local file system the driver's JVM would start child processes to make it.
+    """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     if _RUNNING:
         _RUNNING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
