@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import localfs
+
 _OWN: dict[str, str] = {}
 
 
@@ -39,10 +41,11 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes the rows as Parquet to the shared folder and reads them again: cuts lineage, survives lost executors.
 
-    No _SUCCESS file: nothing reads it, and on a local file system the driver's JVM would start child processes to make it.
+    No _SUCCESS file: nothing reads it. On a local file system no child processes (``localfs``).
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    options = {"mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"} | localfs.options(df.sparkSession, path)
+    df.write.options(**options).parquet(path)
     if _RUNNING:
         _RUNNING[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
