@@ -31,13 +31,14 @@ def plain(docs, questions, k):
     tf, size = {}, {}
     for i, t in full:
         tf.setdefault(i, Counter()).update(t)
-        size[i] = max(size.get(i, 0), len(t))
+        for w in t:
+            size[i, w] = max(size.get((i, w), 0), len(t))
     df = Counter(w for c in tf.values() for w in c)
     out = []
     for q, asked in questions:
         scores = []
         for i, c in tf.items():
-            s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size[i] / mean)) for w, m in Counter(asked).items() if w in c)
+            s = sum(m * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * size[i, w] / mean)) for w, m in Counter(asked).items() if w in c)
             if round(s, 6) > 0:
                 scores.append((-round(s, 6), i is not None, i, q))
         out += [(q, i, -s, n + 1) for n, (s, _, i, q) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] if x[1] else 0))[:k])]
@@ -51,7 +52,7 @@ def test_against_the_formula(spark, block, named):
     words = [f"w{i}" for i in range(40)]
     some = lambda n: [words[min(int(rnd.expovariate(0.15)), 39)] for _ in range(rnd.randrange(n))]
     docs = [(i, some(30)) for i in range(300)] + [(i, ["w0", "w1"]) for i in (900, 800, 700)]
-    docs += [(5, docs[5][1]), (None, ["w0", "w39", "w39"]), (None, ["w0", "w39", "w39"]), (-4, None)]
+    docs += [(5, docs[5][1]), (6, [*docs[6][1], "w0", "w1"]), (None, ["w0", "w39", "w39"]), (None, ["w0", "w39", "w39"]), (-4, None)]
     if named:
         docs = [(i if i is None else f"é{i}", t) for i, t in docs]
     questions = [(q, some(9) + ["nowhere"]) for q in range(20)] + [(20, [])]
